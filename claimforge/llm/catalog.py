@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimforge.llm import bpe
+from claimforge.llm import bpe, lookalike
 from claimforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,16 @@ def p8_round_trip(spark, folder):
     docs = table(spark, folder, "documents")
     back = bpe.decode_ids(bpe.encode_texts(docs)).withColumnRenamed("text", "decoded")
     return docs.select("doc_id", "text").join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+# ---- 5: look-alike text -----------------------------------------------------------------------------
+
+
+@query("p5_found")
+def p5_found(spark, folder):
+    return lookalike.unify_all(table(spark, folder, "pages"), table(spark, folder, "people")).filter("changed").select("field", "row_id")
+
+
+@query("p5_clean")
+def p5_clean(spark, folder):
+    return lookalike.unify_all(table(spark, folder, "pages"), table(spark, folder, "people"))
