@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimforge.llm import bpe, lookalike
+from claimforge.llm import bpe, lookalike, repeated
 from claimforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,42 @@ def p5_found(spark, folder):
 @query("p5_clean")
 def p5_clean(spark, folder):
     return lookalike.unify_all(table(spark, folder, "pages"), table(spark, folder, "people"))
+
+
+# ---- 4: repeated lines ------------------------------------------------------------------------------
+
+_HOST_SQL = r"regexp_replace(lower(regexp_extract(final_url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
+_P4_SQL = rf"""
+WITH split AS (
+  SELECT page_id, final_url, {_HOST_SQL} AS host, unnest(string_split(text, chr(10))) AS line,
+         CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS line_no
+  FROM pages WHERE text IS NOT NULL AND final_url IS NOT NULL
+), formed AS (
+  SELECT page_id, final_url, host, line_no,
+         trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '', 'g'), '[\t-\r \x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g'), ' ') AS form
+  FROM split
+), frequent AS (
+  SELECT host, form FROM formed WHERE form <> '' GROUP BY host, form HAVING count(DISTINCT final_url) >= 8
+)
+"""
+
+
+@query("p4_found", _P4_SQL + "SELECT page_id, line_no FROM formed JOIN frequent USING (host, form)")
+def p4_found(spark, folder):
+    return repeated.occurrences(table(spark, folder, "pages")).select("page_id", "line_no")
+
+
+@query(
+    "p4_clean",
+    _P4_SQL
+    + """, gone AS (SELECT page_id, list(line_no) AS gone FROM formed JOIN frequent USING (host, form) GROUP BY page_id)
+SELECT p.page_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string([x for x, i in string_split(text, chr(10)) if NOT list_contains(gone, i - 1)], chr(10)) END AS text
+FROM pages p LEFT JOIN gone USING (page_id)""",
+)
+def p4_clean(spark, folder):
+    return repeated.remove(table(spark, folder, "pages").select("page_id", "final_url", "text")).select("page_id", "text")
+
+
+@query("p4_sequences")
+def p4_sequences(spark, folder):
+    return repeated.sequences(table(spark, folder, "pages").select("page_id", "final_url", "text"))
