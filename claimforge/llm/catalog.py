@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimforge.llm import bpe, lookalike, repeated
+from claimforge.llm import bpe, lookalike, repeated, titles
 from claimforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,28 @@ def p4_clean(spark, folder):
 @query("p4_sequences")
 def p4_sequences(spark, folder):
     return repeated.sequences(table(spark, folder, "pages").select("page_id", "final_url", "text"))
+
+
+# ---- 2: titles --------------------------------------------------------------------------------------
+
+
+def _titles(spark, folder):
+    return titles.match_titles(table(spark, folder, "people"), table(spark, folder, "role_reference"))
+
+
+@query("p2_found")
+def p2_found(spark, folder):
+    return _titles(spark, folder).select("person_id", "role_id")
+
+
+@query("p2_titles")
+def p2_titles(spark, folder):
+    """Every person with the entry the title means and its role_category; null where unmatched."""
+    reference = table(spark, folder, "role_reference").select("role_id", "canonical_title", "role_category")
+    return _titles(spark, folder).join(reference, "role_id", "left").select("person_id", "title", "role_id", "canonical_title", "role_category", "score")
+
+
+@query("p2_unmatched")
+def p2_unmatched(spark, folder):
+    """The titles that match nothing, with the number of people."""
+    return _titles(spark, folder).filter("role_id = -1").groupBy("title").agg(F.count(F.lit(1)).alias("people"))
