@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimforge.llm import bpe, lookalike, repeated, titles
+from claimforge.llm import bpe, lookalike, repeated, survivor, titles
 from claimforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,18 @@ def p2_titles(spark, folder):
 def p2_unmatched(spark, folder):
     """The titles that match nothing, with the number of people."""
     return _titles(spark, folder).filter("role_id = -1").groupBy("title").agg(F.count(F.lit(1)).alias("people"))
+
+
+# ---- 3: surviving records ---------------------------------------------------------------------------
+
+
+@query("p3_found")
+def p3_found(spark, folder):
+    versions = table(spark, folder, "person_versions")
+    several = versions.groupBy("person_key").count().filter("count >= 2").select("person_key")
+    return survivor.resolve(versions).filter("settled").join(several, "person_key", "left_semi").select("person_key", "field", "version_id")
+
+
+@query("p3_people")
+def p3_people(spark, folder):
+    return survivor.people(table(spark, folder, "person_versions"))
