@@ -13,6 +13,8 @@ invisible character becomes ''; repeated rows come out repeatedly; texts of any
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,8 +40,10 @@ NUMERAL_AS = "IVXLCDMivxlcdm--."
 LIGATURE = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 _wide = [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)]
-WIDE = "".join(map(chr, _wide))
-WIDE_AS = "".join(chr(c - 0xFEE0) for c in _wide)
+# Letters and digits that only differ in style: the mathematical alphabets and the letter-like signs that fill their gaps.
+_styled = [c for c in (*range(0x1D400, 0x1D800), *range(0x210A, 0x2135)) if re.fullmatch(r"[\w]", unicodedata.normalize("NFKC", chr(c))) and unicodedata.normalize("NFKC", chr(c)) != chr(c)]
+WIDE = "".join(map(chr, [*_wide, *_styled]))
+WIDE_AS = "".join(chr(c - 0xFEE0) for c in _wide) + "".join(unicodedata.normalize("NFKC", chr(c)) for c in _styled)
 _signs = [*range(0xFF01, 0xFF10), *range(0xFF1A, 0xFF21), *range(0xFF3B, 0xFF41), *range(0xFF5B, 0xFF5F)]
 WIDE_SIGNS = "".join(map(chr, _signs))
 WIDE_SIGNS_AS = "".join(chr(c - 0xFEE0) for c in _signs)

@@ -14,6 +14,7 @@ from claimforge.llm import lookalike
         ("a b　c", "a b c"),
         ("ﬁrst", "first"),
         ("one о two", "one o two"),
+        ("𝗣𝗿𝗶𝘆𝗮 ℝ 𝟗", "Priya R 9"),
         ("Σήμερα οne", "Σήμερα one"),
         ("​", ""),
         ("x‍‍y" * 5000, "xy" * 5000),
