@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimforge.llm import bpe, lookalike, repeated, survivor, titles
+from claimforge.llm import bpe, lookalike, repeated, survivor, titles, variants
 from claimforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,13 @@ def p3_found(spark, folder):
 @query("p3_people")
 def p3_people(spark, folder):
     return survivor.people(table(spark, folder, "person_versions"))
+
+
+# ---- 6: variant names -------------------------------------------------------------------------------
+
+
+@query("p6_found")
+def p6_found(spark, folder):
+    people = variants.person_pairs(table(spark, folder, "people")).select(F.lit("person").alias("entity"), "id_a", "id_b")
+    companies = variants.company_pairs(table(spark, folder, "companies")).select(F.lit("company").alias("entity"), "id_a", "id_b")
+    return people.unionByName(companies)
