@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimforge.llm import bpe, lookalike, repeated, survivor, titles, variants
+from claimforge.llm import bpe, lookalike, mainbody, repeated, survivor, titles, variants
 from claimforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,18 @@ def p6_found(spark, folder):
     people = variants.person_pairs(table(spark, folder, "people")).select(F.lit("person").alias("entity"), "id_a", "id_b")
     companies = variants.company_pairs(table(spark, folder, "companies")).select(F.lit("company").alias("entity"), "id_a", "id_b")
     return people.unionByName(companies)
+
+
+# ---- 1: main body -----------------------------------------------------------------------------------
+
+
+@query("p1_found")
+def p1_found(spark, folder):
+    pages = table(spark, folder, "pages")
+    return mainbody.furniture_lines(pages, mainbody.fit(pages))
+
+
+@query("p1_main")
+def p1_main(spark, folder):
+    pages = table(spark, folder, "pages")
+    return mainbody.main_texts(pages, mainbody.fit(pages))
