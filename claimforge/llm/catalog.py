@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimforge.llm import bpe, lookalike, mainbody, repeated, survivor, titles, variants
+from claimforge.llm import bpe, lookalike, mainbody, repeated, residue, survivor, titles, variants
 from claimforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,18 @@ def p1_found(spark, folder):
 def p1_main(spark, folder):
     pages = table(spark, folder, "pages")
     return mainbody.main_texts(pages, mainbody.fit(pages))
+
+
+# ---- 7: residue -------------------------------------------------------------------------------------
+
+
+@query("p7_found")
+def p7_found(spark, folder):
+    return residue.residue_pages(table(spark, folder, "pages"))
+
+
+@query("p7_clean")
+def p7_clean(spark, folder):
+    """The pages without residue."""
+    pages = table(spark, folder, "pages")
+    return pages.select("page_id", "final_url", "text").join(residue.residue_pages(pages), "page_id", "left_anti")
