@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimforge.llm import bpe, lookalike, mainbody, repeated, residue, survivor, titles, variants
+from claimforge.llm import bpe, lookalike, mainbody, mixture, repeated, residue, survivor, titles, variants
 from claimforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,16 @@ def p7_clean(spark, folder):
     """The pages without residue."""
     pages = table(spark, folder, "pages")
     return pages.select("page_id", "final_url", "text").join(residue.residue_pages(pages), "page_id", "left_anti")
+
+
+# ---- 9: mixture -------------------------------------------------------------------------------------
+
+
+@query("p9_mixture")
+def p9_mixture(spark, folder):
+    return mixture.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+@query("p9_shares")
+def p9_shares(spark, folder):
+    return mixture.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
