@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimforge.llm import bpe, lookalike, mainbody, mixture, repeated, residue, survivor, titles, variants
+from claimforge.llm import bpe, lookalike, mainbody, mixture, personal, repeated, residue, survivor, titles, variants
 from claimforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,16 @@ def p9_mixture(spark, folder):
 @query("p9_shares")
 def p9_shares(spark, folder):
     return mixture.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+# ---- 10: personal details ---------------------------------------------------------------------------
+
+
+@query("p10_found")
+def p10_found(spark, folder):
+    return personal.find(table(spark, folder, "documents"), personal.field())
+
+
+@query("p10_redacted")
+def p10_redacted(spark, folder):
+    return personal.redact(table(spark, folder, "documents"), personal.field())
