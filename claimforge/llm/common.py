@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix=f"claimforge-{os.getpid()}-"))
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"claimforge-{os.getpid()}-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, compressed, read by column."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host without credentials, port or a leading 'www.'; '' where there is none."""
     host = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)

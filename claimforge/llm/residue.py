@@ -21,14 +21,17 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimforge.llm import residue_seed
-from claimforge.llm.common import checkpointed
+from claimforge.llm.common import checkpointed, written
 
 HAMMING, SIMILARITY, LONG = 3, 0.8, 12
 #: Rows up to which a frontier (or the labelled nodes) is broadcast; beyond it, it is shuffled.
@@ -58,23 +61,33 @@ PARTS = re.compile(r"\s+[-–—|·»]\s+|(?<=\w):\s+")
 WORD = re.compile(r"[^\W\d_]+")
 
 
+SIGNS = str.maketrans(dict.fromkeys("\"'“”„«».!?…,;:。！？、()[]*", " "))
+NUMBER = re.compile(r"\d[\d.,]*")
+
+
+def _ends_in_a_tail(text: str) -> bool:
+    """Whether TAIL may match: its last word closes a bracket, starts with a slash or holds a digit."""
+    last = text[text.rstrip().rfind(" ") + 1 :]
+    return last[-1:] in "])" or last[:1] == "/" or any(c.isdigit() for c in last) or "ncident" in text[-40:]
+
+
 def normal(line: str, filler: frozenset[str]) -> str:
     """The normal form of a line."""
-    text = LEAK.sub(VOID, line) if LEAK.search(line) else line
+    text = LEAK.sub(VOID, line)
     if any(c in text for c in "{[<%@_#$("):
         text = SLOTS.sub(lambda m: m[0] if SLOT_CASE.match(m[0]) else SLOT, text)
-        for _ in range(3):
-            text, n = TAIL.subn("", text)
-            if not n:
-                break
-    elif "/" in text or "ncident" in text or "ref" in text.lower():
-        text = TAIL.sub("", text)
+    for _ in range(3):
+        if not _ends_in_a_tail(text):
+            break
+        text, n = TAIL.subn("", text)
+        if not n:
+            break
     low = text.lower()
-    words = WORD.findall(low)
-    if len(words) >= 4 and sum(w in filler for w in words) >= 0.6 * len(words):
-        return FILL
-    low = re.sub(r"\d[\d.,]*", "0", low)
-    return " ".join(re.sub(r"[\"'“”„«».!?…,;:。！？、()\[\]*]+", " ", low).split())
+    if len(filler.intersection(low.split())) >= 2:
+        words = WORD.findall(low)
+        if len(words) >= 4 and sum(w in filler for w in words) >= 0.6 * len(words):
+            return FILL
+    return " ".join(NUMBER.sub("0", low).translate(SIGNS).split())
 
 
 def units(line: str, filler: frozenset[str]) -> set[str]:
@@ -179,19 +192,19 @@ def _similar(a: str, b: str) -> Column:
 def filler_words(pages: DataFrame) -> frozenset[str]:
     """The words of dummy Latin in the corpus; at most (words of a line) / FILLER_SHARE of them."""
     lines = pages.filter(F.col("text").isNotNull()).select(F.explode(F.split(F.lower("text"), "\n")).alias("line"))
-    words = lines.withColumn("words", F.array_distinct(F.split("line", r"[^\p{L}]+")))
-    latin = words.filter(F.size(F.array_intersect("words", F.array(*map(F.lit, sorted(CORE))))) >= 3)
-    counted = latin.select(F.explode("words").alias("w")).filter(F.length("w") >= 2).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    total = latin.count()
-    if not total:
-        return frozenset(LATIN)
-    known = {r.w: r.n for r in counted.filter(F.col("n") >= max(3, FILLER_SHARE * total)).collect()}
-    new = [w for w in known if w not in LATIN]
+    split = F.array_distinct(F.split("line", r"[^\p{L}]+"))
+    # Three core words can't all be among three that ordinary words contain, unless they are exactly these.
+    holds = lambda w: F.contains("line", F.lit(w))
+    ordinary = {"sit", "elit", "dolor"}
+    likely = reduce(or_, map(holds, sorted(CORE - ordinary))) | reduce(and_, map(holds, sorted(ordinary)))
+    latin = lines.filter(likely).select(split.alias("words")).filter(F.size(F.array_intersect("words", F.array(*map(F.lit, sorted(CORE))))) >= 3)
+    counted = {r.w: r.n for r in latin.select(F.explode(F.array_append("words", "#")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.max(F.when(F.col("w") == "#", F.col("n"))).over(W.partitionBy())).filter(F.col("n") >= F.greatest(F.lit(3), F.lit(FILLER_SHARE) * F.col("all"))).collect()}
+    new = sorted(w for w in counted if len(w) >= 2 and w not in LATIN)
     if not new:
         return frozenset(LATIN)
-    listed = F.array(*map(F.lit, sorted(new)))
-    every = words.select(F.explode(F.array_intersect("words", listed)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return frozenset(LATIN | {r.w for r in every.collect() if known[r.w] >= 0.3 * r.n})
+    some = reduce(or_, map(holds, new)) if len(new) <= 100 else F.lit(True)
+    every = lines.filter(some).select(F.explode(F.array_intersect(split, F.array(*map(F.lit, new)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return frozenset(LATIN | {r.w for r in every.collect() if counted[r.w] >= 0.3 * r.n})
 
 
 def page_units(pages: DataFrame, filler: frozenset[str]) -> DataFrame:
@@ -264,7 +277,7 @@ def spread(nodes: DataFrame, trusted: DataFrame) -> DataFrame:
 def residue_lines(pages: DataFrame) -> DataFrame:
     """(page_id, line_no) of the lines that are residue."""
     filler = filler_words(pages)
-    placed = page_units(pages, filler)
+    placed = written(page_units(pages, filler))
     nodes = checkpointed(_with_simhash(placed.groupBy("uid").agg(F.first("unit").alias("unit"))))
     labels = checkpointed(spread(nodes, seeds(pages.sparkSession, filler)))
     marked = placed.select("page_id", "line_no", "uid").join(_small(labels), "uid")
