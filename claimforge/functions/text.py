@@ -187,7 +187,11 @@ def copyright_entity(c: Column) -> Column:
 def registry_codes(c: Column) -> Column:
     """Array of (kind, value): the first eight different codes, by kind and place."""
     text = blank(c)
-    every = [F.transform(F.regexp_extract_all(text, F.lit(p), 1), lambda v, k=kind: F.struct(F.lit(k).alias("kind"), F.trim(v).alias("value"))) for kind, p in L.REGISTRY_CODES]
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda v: F.struct(F.lit(kind).alias("kind"), F.trim(v).alias("value")))
+
+    every = [of(kind, pattern) for kind, pattern in L.REGISTRY_CODES]
     return F.slice(F.array_distinct(F.concat(*every)), 1, 8)
 
 
