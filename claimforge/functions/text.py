@@ -6,6 +6,7 @@ A word character is a letter, a number or _ (so joiners and combining marks are
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -24,12 +25,17 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once: branches of CASE and OR would compute it again in each."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def has_any(c: Column, needles: list[str]) -> Column:
-    return reduce(or_, [F.contains(c, F.lit(n)) for n in needles])
+    return let(c, lambda b: reduce(or_, [F.contains(b, F.lit(n)) for n in needles]))
 
 
 def ends_any(c: Column, ends: list[str]) -> Column:
-    return reduce(or_, [F.endswith(c, F.lit(e)) for e in ends])
+    return let(c, lambda b: reduce(or_, [F.endswith(b, F.lit(e)) for e in ends]))
 
 
 def strings(values: list[str]) -> Column:
@@ -38,10 +44,14 @@ def strings(values: list[str]) -> Column:
 
 def first_match(c: Column, rules: list[tuple[object, list[str]]], otherwise: object) -> Column:
     """The value of the first rule of which a word stands in c."""
-    out = F
-    for value, needles in rules:
-        out = out.when(has_any(c, needles), F.lit(value))
-    return out.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
+
+    def ladder(b: Column) -> Column:
+        out = F
+        for value, needles in rules:
+            out = out.when(reduce(or_, [F.contains(b, F.lit(n)) for n in needles]), F.lit(value))
+        return out.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
+
+    return let(c, ladder)
 
 
 # ---- URLs -------------------------------------------------------------------------------------------
@@ -69,7 +79,7 @@ def same_site(url: Column, domain: Column) -> Column:
 
 
 def company_site(h: Column) -> Column:
-    return F.contains(h, F.lit(".")) & ends_any(h, L.SITE_SUFFIXES)
+    return let(h, lambda b: F.contains(b, F.lit(".")) & reduce(or_, [F.endswith(b, F.lit(e)) for e in L.SITE_SUFFIXES]))
 
 
 def worth_fetching(url: Column) -> Column:
@@ -94,9 +104,8 @@ def contact_page(url: Column, title: Column) -> Column:
 
 
 def source_type(url: Column, title: Column) -> Column:
-    h = host(url)
-    blob = F.lower(F.concat(h, F.lit(" "), blank(title)))
-    return first_match(blob, L.SOURCE_RULES, F.when(company_site(h), F.lit("company_website")).otherwise("other"))
+    kind = lambda h: first_match(F.lower(F.concat(h, F.lit(" "), blank(title))), L.SOURCE_RULES, F.when(company_site(h), F.lit("company_website")).otherwise("other"))
+    return let(host(url), kind)
 
 
 def link_weight(url: Column, anchor: Column) -> Column:
@@ -105,32 +114,38 @@ def link_weight(url: Column, anchor: Column) -> Column:
 
 def hit_score(url: Column, title: Column, snippet: Column, kind: Column, position: Column, terms: Column) -> Column:
     """How useful a search hit is; terms: array of lower-case words."""
-    h = host(url)
-    head = F.lower(blank(title))
-    blob = F.lower(F.concat(blank(title), F.lit(" "), blank(snippet)))
-    matched = F.size(F.filter(terms, lambda t: (t != "") & F.contains(blob, t)))
     bonus = lambda test, value: F.when(test, F.lit(value)).otherwise(0.0)
-    total = (
-        F.lit(1.0)
-        + bonus(has_any(h, L.HIGH_VALUE_HOSTS), 3.0)
-        + matched * F.lit(1.4)
-        + bonus(company_site(h), 1.2)
-        + bonus(kind.isin("company_website", "registry", "press_release", "partner_announcement"), 1.0)
-        + bonus(kind.isin("directory", "job_board", "forum", "social_profile"), -1.5)
-        + bonus(F.exists(terms, lambda t: (t != "") & F.startswith(head, t)), 0.8)
-        + F.when(position > 0, F.greatest(F.lit(0.0), F.lit(1.5) - position * F.lit(0.1))).otherwise(0.0)
-        + bonus(F.endswith(h, F.lit(".pdf")), -0.3)
-    )
-    return F.when((h == "") | h.isin(L.LOW_VALUE_HOSTS), F.lit(0.0)).otherwise(F.round(total, 2))
+
+    def total(h: Column, head: Column, blob: Column) -> Column:
+        matched = F.size(F.filter(terms, lambda t: (t != "") & F.contains(blob, t)))
+        points = (
+            F.lit(1.0)
+            + bonus(has_any(h, L.HIGH_VALUE_HOSTS), 3.0)
+            + matched * F.lit(1.4)
+            + bonus(company_site(h), 1.2)
+            + bonus(kind.isin("company_website", "registry", "press_release", "partner_announcement"), 1.0)
+            + bonus(kind.isin("directory", "job_board", "forum", "social_profile"), -1.5)
+            + bonus(F.exists(terms, lambda t: (t != "") & F.startswith(head, t)), 0.8)
+            + F.when(position > 0, F.greatest(F.lit(0.0), F.lit(1.5) - position * F.lit(0.1))).otherwise(0.0)
+            + bonus(F.endswith(h, F.lit(".pdf")), -0.3)
+        )
+        return F.when((h == "") | h.isin(L.LOW_VALUE_HOSTS), F.lit(0.0)).otherwise(F.round(points, 2))
+
+    text = F.struct(host(url).alias("h"), F.lower(blank(title)).alias("t"), F.lower(F.concat(blank(title), F.lit(" "), blank(snippet))).alias("b"))
+    return let(text, lambda x: total(x["h"], x["t"], x["b"]))
 
 
 def socials(url: Column) -> Column:
     """The key of the social network a URL belongs to, or null."""
-    h = host(url)
-    out = F
-    for name, key in L.SOCIAL_HOSTS.items():
-        out = out.when((h == name) | F.endswith(h, F.lit("." + name)), F.lit(key))
-    return out.otherwise(F.lit(None).cast("string"))
+
+
+    def ladder(h: Column) -> Column:
+        out = F
+        for name, key in L.SOCIAL_HOSTS.items():
+            out = out.when((h == name) | F.endswith(h, F.lit("." + name)), F.lit(key))
+        return out.otherwise(F.lit(None).cast("string"))
+
+    return let(host(url), ladder)
 
 
 # ---- companies --------------------------------------------------------------------------------------
@@ -157,7 +172,10 @@ def query_terms(*values: Column) -> Column:
 
 def size_hint(c: Column) -> Column:
     """Band of company size by head counts of up to three digits, then by phrases."""
-    low = F.lower(blank(c))
+    return let(F.lower(blank(c)), _size_of)
+
+
+def _size_of(low: Column) -> Column:
     gate = low.rlike(r"\b([0-9]{1,3})\s*[-+]?\s*(employees|staff|people)\b")
     count = F.coalesce(F.regexp_extract(low, r"\b([0-9]{1,4})\s*[-+]?\s*(employees|staff|people)\b", 1).try_cast("int"), F.lit(0))
     return (
@@ -216,11 +234,14 @@ def native_words(lang: Column) -> Column:
 
 def role(title: Column) -> Column:
     """(category, authority) of a title."""
-    norm = F.lower(squeeze(blank(title)))
+    return let(F.lower(squeeze(blank(title))), _role_of)
+
+
+def _role_of(norm: Column) -> Column:
     pair = lambda category, authority: F.struct(F.lit(category).alias("category"), F.lit(authority).alias("authority"))
     out = F.when(norm == "", pair("unknown", 0))
     for category, authority, words in L.ROLE_TIERS:
-        out = out.when(has_any(norm, words), pair(category, authority))
+        out = out.when(reduce(or_, [F.contains(norm, F.lit(w)) for w in words]), pair(category, authority))
     return out.when(norm.rlike(r"(?U)\bchief\b|\bceo\b|\bpresident\b"), pair("chief_executive", 22)).otherwise(pair("unknown", 4))
 
 
@@ -285,7 +306,10 @@ def raw_emails(c: Column) -> Column:
 
 def normal_email(raw: Column, junk: list[str] = L.EMAIL_JUNK) -> Column:
     """Lower case without punctuation around it; '' where it is no usable address."""
-    e = F.lower(F.regexp_replace(F.trim(blank(raw)), r"^[.,;:!?\"'<>()\[\]]+|[.,;:!?\"'<>()\[\]]+$", ""))
+    return let(F.lower(F.regexp_replace(F.trim(blank(raw)), r"^[.,;:!?\"'<>()\[\]]+|[.,;:!?\"'<>()\[\]]+$", "")), lambda e: _usable_email(e, junk))
+
+
+def _usable_email(e: Column, junk: list[str]) -> Column:
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     bad = F.contains(e, F.lit("..")) | ~F.contains(e, F.lit("@")) | (local == "") | ~F.contains(domain, F.lit(".")) | local.rlike(r"^(www\.|http|ftp|smtp|mail\.)|://|[.\-_+]$")
     if junk:
@@ -340,23 +364,20 @@ def email_kind(email: Column, names: Column) -> Column:
 def phones(c: Column) -> Column:
     """The first eight different numbers: those on lines with a label first, then by place."""
 
+    digits = lambda x: F.regexp_replace(x, r"[^0-9]", "")
+
     def of_line(line: Column, n: Column) -> Column:
         rank = F.when(line.rlike(L.PHONE_LABEL), 0).otherwise(2)
-        found = F.transform(F.regexp_extract_all(line, F.lit(f"({L.PHONE})"), 1), lambda raw, k: F.struct(rank.alias("rank"), n.alias("line"), k.alias("at"), F.trim(raw).alias("raw")))
-        digits = lambda x: F.regexp_replace(x["raw"], r"[^0-9]", "")
+        found = F.transform(F.regexp_extract_all(line, F.lit(f"({L.PHONE})"), 1), lambda raw, k: F.struct(rank.alias("rank"), n.alias("line"), k.alias("at"), F.trim(raw).alias("raw"), digits(raw).alias("digits")))
         return F.filter(
             found,
-            lambda x: F.length(digits(x)).between(7, 15)
-            & ~(~x["raw"].rlike(r"[\s().\-+]") & (F.length(digits(x)) > 11))
-            & ~digits(x).rlike(r"^20[0-9]{6,}$")
-            & ~digits(x).rlike(r"^([0-9])\1+$"),
+            lambda x: F.length(x["digits"]).between(7, 15) & ~(~x["raw"].rlike(r"[\s().\-+]") & (F.length(x["digits"]) > 11)) & ~x["digits"].rlike(r"^20[0-9]{6,}$|^([0-9])\1+$"),
         )
 
-    every = F.array_sort(F.flatten(F.transform(F.split(blank(c), r"\r\n|[\n\r]"), of_line)))
+    every = F.array_sort(F.flatten(F.transform(F.filter(F.split(blank(c), r"\r\n|[\n\r]"), lambda line: line.rlike(r"[0-9]")), of_line)))
     shown = F.transform(every, lambda x: F.regexp_replace(squeeze(x["raw"]), r"^[ .-]+|[ .-]+$", ""))
-    key = lambda x: F.regexp_replace(x, r"[^0-9]", "")
-    fresh = F.filter(shown, lambda x, i: F.array_position(F.transform(shown, key), key(x)) == i + 1)
-    return F.slice(fresh, 1, 8)
+    once = lambda s: let(F.transform(s, digits), lambda d: F.filter(s, lambda x, i: F.array_position(d, digits(x)) == i + 1))
+    return F.slice(let(shown, once), 1, 8)
 
 
 def quote_around(text: Column, needle: Column, width: int = 220) -> Column:

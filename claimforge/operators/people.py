@@ -73,9 +73,10 @@ def score_people(people: DataFrame, evidence: DataFrame, companies: DataFrame, a
     kind = T.source_type(F.col("source_url"), F.col("source_title"))
     url = F.lower(T.blank(F.col("source_url")))
     blob = F.lower(F.concat_ws(" ", T.blank(F.col("claim_value")), T.blank(F.col("source_text")), T.blank(F.col("source_url"))))
-    tied_host = F.exists("domains", lambda d: F.contains(url, d))
-    tied_term = F.exists("terms", lambda t: F.contains(blob, t))
-    tie = F.when(tied_host & tied_term, 30).when(tied_host | tied_term, 18).otherwise(6)
+    tied_host = T.let(url, lambda u: F.exists("domains", lambda d: F.contains(u, d)))
+    tied_term = T.let(blob, lambda b: F.exists("terms", lambda t: F.contains(b, t)))
+    ties = tied_host.cast("int") + tied_term.cast("int")
+    tie = T.let(ties, lambda n: F.when(n == 2, 30).when(n == 1, 18).otherwise(6))
     dated = F.coalesce(F.nullif(T.blank(F.col("source_text")), F.lit("")), T.blank(F.col("claim_value")))
     year = F.nullif(F.regexp_extract(dated, r"(?U)\b(20[12][0-9])\b", 1), F.lit("")).cast("int")
     items = (
@@ -84,7 +85,7 @@ def score_people(people: DataFrame, evidence: DataFrame, companies: DataFrame, a
         .groupBy("person_id")
         .agg(
             F.avg(tie).alias("match"),
-            F.avg(_lookup(kind, L.HOST_TRUST, 0.4)).alias("trust"),
+            F.avg(T.let(kind, lambda k: _lookup(k, L.HOST_TRUST, 0.4))).alias("trust"),
             F.count(F.lit(1)).alias("n"),
             F.max(year).alias("newest"),
             F.max(F.when(T.has_any(F.lower(T.blank(F.col("claim_value"))), L.ENDED_HINTS), 1).otherwise(0)).alias("ended_claim"),
