@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from claimforge import lexicon as L
+from claimforge.session import widened
 
 _TOKEN = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -166,7 +167,7 @@ def parse(source: str | None, url: str) -> dict:
 
 def parse_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, url, and the parts of the page); pages without html give empty parts."""
-    source = pages.select(key, F.coalesce("final_url", "url", F.lit("")).alias("url"), "html")
+    source = widened(pages.select(key, F.coalesce("final_url", "url", F.lit("")).alias("url"), "html"))
     kind = source.schema[key].dataType.simpleString()
     names = [part.strip().split(" ")[0] for part in re.split(r",\s(?=\w+ (?:string|array))", SCHEMA)]
 

@@ -385,3 +385,36 @@ def quote_around(text: Column, needle: Column, width: int = 220) -> Column:
     begin = F.greatest(F.lit(0), place - 1 - width // 3)
     cut = F.substring(blank(text), begin + 1, place - 1 + width - begin)
     return F.when((blank(needle) == "") | (place == 0), "").otherwise(squeeze(cut))
+
+
+def addresses(c: Column) -> Column:
+    """Up to five addresses: the first of each hinted line of at most 200 characters; without any, the first three of the first form that the whole text has."""
+    text = blank(c)
+    edge = lambda x: F.regexp_replace(x, r"^[ ,;]+|[ ,;]+$", "")
+    forms = [F.lit(f"({p})") for p in (L.LATIN_ADDRESS, L.JP_ADDRESS, L.CJK_ADDRESS)]
+    hinted = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), F.trim), lambda x: (x != "") & (F.length(x) <= 200) & has_any(F.lower(x), L.ADDRESS_HINTS))
+    of_lines = F.array_distinct(F.array_compact(F.transform(hinted, lambda x: F.coalesce(*[F.get(F.regexp_extract_all(x, f, 1), 0) for f in forms]))))
+    whole = [F.regexp_extract_all(text, forms[i], 1) for i in (1, 2, 0)]
+    fallback = F.coalesce(*[F.when(F.size(w) > 0, F.slice(F.array_distinct(F.transform(w, edge)), 1, 3)) for w in whole], F.array().cast("array<string>"))
+    return F.slice(let(F.transform(of_lines, edge), lambda x: F.when(F.size(x) > 0, x).otherwise(fallback)), 1, 5)
+
+
+def other_company(text: Column, terms: Column) -> Column:
+    """Whether a title ties the person ("... of X", "... at X") to an organisation other than the one of the terms.
+
+    Department headings are none: X counts if it has a legal ending, or words that are not all role, product or department
+    words and not in lower case.
+    """
+    ordinary = strings(sorted({*L.NOT_PERSON_TOKENS, *L.SUFFIX_TOKENS, *L.STACK_TOKENS, *L.ROLE_TOKENS, *L.PRODUCT_TOKENS, *L.DEPARTMENTS}))
+    endings = strings(sorted(L.SUFFIX_TOKENS))
+    expected = F.array_distinct(F.filter(F.flatten(F.transform(terms, lambda t: F.split(F.lower(t), r"[^\p{L}\p{N}_]+"))), lambda t: (F.length(t) >= 3) & ~F.array_contains(endings, t)))
+
+    def foreign(org: Column, known: Column) -> Column:
+        pieces = F.filter(F.transform(F.split(F.replace(org, F.lit("-"), F.lit(" ")), r"\s+"), lambda t: F.regexp_replace(t, "^[.'’\"]+|[.'’\"]+$", "")), lambda t: t != "")
+        low = F.transform(pieces, F.lower)
+        usual = F.forall(low, lambda t: F.array_contains(ordinary, t))
+        small = F.exists(pieces, lambda t: (t == F.lower(t)) & (t != F.upper(t)))
+        ours = F.arrays_overlap(low, known) | F.exists(known, lambda k: F.contains(F.lower(org), k)) | org.isin("Board", "Division", "Operations", "Product")
+        return ~ours & (F.size(pieces) > 0) & (F.arrays_overlap(low, endings) | (~usual & ~small))
+
+    return let(expected, lambda known: (F.size(known) > 0) & F.exists(F.regexp_extract_all(blank(text), F.lit(L.ATTRIBUTION), 1), lambda org: foreign(F.trim(org), known)))

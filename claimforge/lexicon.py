@@ -136,3 +136,11 @@ PRODUCT_TOKENS = ["management", "system", "systems", "property", "properties", "
 SUFFIX_TOKENS = ["co", "cos", "corp", "corps", "inc", "ins", "ltd", "llc", "gmbh", "sarl", "srl", "bv", "bvba", "nv", "ag", "oü", "oy", "ab", "spa", "plc", "llp", "kft", "doo", "d.o.o.", "pte", "pty", "sa", "s.a."]
 STACK_TOKENS = ["fonts", "tag", "tags", "performer", "other", "year", "album", "songs", "song", "records", "analysis", "analytics", "stack", "webflow", "cloudflare", "google", "open", "graph", "optimization", "version", "hosting", "database", "url", "http", "https", "ssl", "cdn", "api", "widget", "widgets", "plugin", "font", "track", "tracks", "discography", "genre", "label", "titled", "single", "singles"]
 NOT_PERSON_TOKENS = ["privacy", "cookie", "terms", "contact", "about", "home", "search", "login", "sign", "our", "the", "and", "for", "with", "from", "your", "team", "blog", "news", "press", "careers", "jobs", "help", "faq", "support", "services", "products", "pricing", "features", "legal", "impressum", "sitemap", "copyright", "all", "rights", "reserved", "company", "corporation", "group", "international", "solutions", "systems", "technologies", "labs", "studio", "agency", "partners", "capital", "holdings", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "menu", "close", "read", "more", "view", "learn", "get", "start", "free", "trial", "demo", "book", "now", "today", "explore", "discover"]
+# Postal addresses: hints of their lines, and their forms.
+ADDRESS_HINTS = ["address", "head office", "headquarter", "hq", "office", "located in", "based in", "所在地", "住所", "本社", "地址", "总部"]
+LATIN_ADDRESS = r"(?U)\b\d{1,5}\s+[A-Z][\w'’\-]*(?:\s+[A-Z][\w'’\-]*){0,4}\s*,?\s*(?:[A-Z][\w'’\-]*\s*){0,3},?\s*[A-Z]{2}\s+\d{5}(?:-\d{4})?\b"
+JP_ADDRESS = r"[一-鿿]{2,8}?[都道府県][一-鿿]{2,8}?[市区町村][一-鿿0-9\-]{2,20}"
+CJK_ADDRESS = r"[一-鿿]{2,10}(?:市|区|町|村)[一-鿿0-9\-]{2,20}(?:[0-9]+[-ー丁目\-番地]?[0-9]*)"
+# Titles that tie a person to an organisation, and words of departments.
+ATTRIBUTION = r"(?iU)\b(?:co-?founder|founder|ceo|owner|director|managing director|president|head|partner|chief executive officer|vice president|general manager)\b[^.!?;]*?\b(?:of|at)\b\s+([\w’'&][\w’'&.\-]*(?:[\s-][\w’'&][\w’'&.\-]*){1,3})"
+DEPARTMENTS = ["marketing", "sales", "operations", "engineering", "product", "products", "finance", "financial", "human", "resources", "technology", "information", "legal", "strategy", "strategies", "design", "designs", "growth", "revenue", "development", "business", "customer", "customers", "account", "accounts", "partnership", "partnerships", "people", "support", "security", "data", "delivery", "procurement", "quality", "research", "communications", "public", "relations", "brand", "content", "creative", "it", "services", "service", "solutions", "analytics", "acquisition", "insights", "supply", "chain", "logistics", "compliance", "risk"]

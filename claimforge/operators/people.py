@@ -146,3 +146,27 @@ def page_people(parsed: DataFrame) -> DataFrame:
     turned = every.unionByName(every.select("page_id", F.col("y").alias("x"), F.col("x").alias("y")))
     found = turned.filter(T.looks_like_name(F.col("x")) & T.looks_like_title(F.col("y"))).select("page_id", F.trim("x").alias("name"), F.trim("y").alias("title"))
     return found.groupBy("page_id", F.lower("name").alias("n"), F.lower("title").alias("t")).agg(F.min("name").alias("name"), F.min("title").alias("title")).select("page_id", "name", "title")
+
+
+def snippet_people(hits: DataFrame, companies: DataFrame) -> DataFrame:
+    """(company_id, name_key, name, title, hit_id): people named in hits that mention the company; the first hit of each name wins.
+
+    hits: hit_id, company_id, url, snippet. "Name, Title", "Name - Title" and "Name | Title" count where the name looks like a name and the title, or its tail from the
+    first role word on, like a title, and where the title ties nobody to another company.
+    """
+    own = company_words(companies).select("company_id", "terms")
+    url, snippet = T.blank(F.col("url")), T.blank(F.col("snippet"))
+    plain = snippet
+    for entity, sign in (("&amp;", "&"), ("&#39;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")):
+        plain = F.replace(plain, F.lit(entity), F.lit(sign))
+    low = F.lower(F.concat_ws(" ", url, plain))
+    near = hits.join(own, "company_id").withColumn("text", plain).filter(F.exists("terms", lambda t: F.contains(low, t)) & T.people_source(url, F.col("text")))
+    name = r"[A-Z][\p{L}'’.-]+(?: [A-Z][\p{L}'’.-]+){1,3}"
+    pattern = rf"({name})\s*[,|–—-]\s*([^,|.;\n]{{3,60}})"
+    pairs = F.zip_with(F.regexp_extract_all("text", F.lit(pattern), 1), F.regexp_extract_all("text", F.lit(pattern), 2), lambda n, t: F.struct(F.trim(n).alias("name"), F.trim(t).alias("title")))
+    found = near.select("company_id", "hit_id", "terms", "text", F.posexplode(pairs).alias("seq", "p")).select("company_id", "hit_id", "terms", "text", "seq", "p.*")
+    tail = F.regexp_extract("title", rf"(?iu)((?:{T._OPENERS}).*)$", 1)
+    chrome = F.length("title") - F.length(tail)
+    titled = T.looks_like_title(F.col("title")) | ((tail != "") & chrome.between(2, 41) & T.looks_like_title(tail))
+    kept = found.filter(T.looks_like_name(F.col("name")) & titled).filter(~T.other_company(F.concat_ws(" ", "title", "text"), F.col("terms"))).withColumn("name_key", T.person_key(F.col("name"))).filter("name_key <> ''")
+    return kept.groupBy("company_id", "name_key").agg(F.min_by(F.struct("name", "title", "hit_id"), F.struct("hit_id", "seq")).alias("b")).select("company_id", "name_key", "b.*")

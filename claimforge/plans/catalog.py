@@ -345,6 +345,13 @@ def hit_ranking(spark, folder):
     return search.rank_hits(hits, table(spark, folder, "companies"))
 
 
+@query()
+def snippet_people(spark, folder):
+    """Evidence quotes as snippets: the people they name for the company."""
+    hits = table(spark, folder, "evidence").select(F.col("evidence_id").alias("hit_id"), "company_id", F.col("source_url").alias("url"), F.col("source_text").alias("snippet"))
+    return people.snippet_people(hits, table(spark, folder, "companies"))
+
+
 # ---- texts ------------------------------------------------------------------------------------------
 
 _PLAIN_AT = r"regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\s*(?:\(at\)|\[at\])\s*', '@', 'g'), '(?i)\s*(?:\(dot\)|\[dot\])\s*', '.', 'g')"
@@ -377,6 +384,11 @@ def document_registry_codes(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.explode(T.registry_codes(F.col("text"))).alias("c")).select("doc_id", "c.kind", "c.value")
 
 
+@query()
+def document_addresses(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", F.posexplode(T.addresses(F.col("text"))).alias("seq", "address"))
+
+
 @query()
 def page_text_facts(spark, folder):
     """Chat ids and copyright holders named in page texts."""

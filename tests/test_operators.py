@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimforge.functions import html, matching
+from claimforge.functions import text as T
 from claimforge.operators import contacts, metrics, people, search, stores
 from claimforge.sources import tables
 
@@ -122,3 +123,23 @@ def test_stream(spark, tmp_path):
     arrivals.profile_stream(source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 5 and out.filter("people_page").count() == 5
+
+
+def test_snippet_people(spark):
+    firm = [(1, "WebRezPro", "World Web Technologies", "WebRezPro", "webrezpro.com", [], None)]
+    firms = spark.createDataFrame(firm, "company_id long, canonical_name string, legal_name string, company_name string, domain string, aliases array<string>, size_hint string")
+    rows = [
+        (1, 1, "https://webrezpro.com/directory", "WebRezPro Team: Frank Verhagen, Founder &amp; President"),
+        (2, 1, "https://news.example/a", "WebRezPro works with partners. Peter Gorla, Managing Director of Voila Hotel Rewards"),
+        (3, 1, "https://news.example/b", "Duetto Co, Director of WebRezPro"),
+        (4, 1, "https://other.example", "Jane Smith, Director"),
+        (5, 1, None, None),
+    ]
+    got = people.snippet_people(spark.createDataFrame(rows, "hit_id long, company_id long, url string, snippet string"), firms).collect()
+    assert [(r.name, r.title) for r in got] == [("Frank Verhagen", "Founder & President")]
+
+
+def test_addresses(spark):
+    rows = [("Head office: 12 Main Street, Springfield, IL 62701", 1), ("住所 東京都渋谷区神南1-2-3", 1), ("nothing here", 0), (None, 0)]
+    df = spark.createDataFrame(rows, "t string, n int")
+    assert all(len(r.a) == r.n for r in df.select("n", T.addresses(F.col("t")).alias("a")).collect())
