@@ -247,7 +247,7 @@ def firm_key(name: str | None, common: frozenset[str], short: dict[str, str], ne
             second.add(short[w])
         elif w in common:
             sector.add(w)
-        elif len(w) >= 5 and (near := near_to(w)):
+        elif len(w) >= 4 and (near := near_to(w)):
             (second if near in short else sector).add(short.get(near, near))
         else:
             brand.append(w)
