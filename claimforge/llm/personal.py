@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.llm import personal_seed
+from claimforge.session import widened
 
 SENTENCES_PER_TEMPLATE = 13
 REACH = 3
@@ -377,14 +378,13 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EPO
     for ks, labels, segs in lines:
         own = [np.array([index[f] for f in evidence(k) if f in index], np.int64) for k in ks]
         for a, b in segs:
-            rows, cols = [], []
+            rows, sizes = [], []
             for t in range(a, b):
-                for d in range(-REACH, REACH + 1):
-                    if 0 <= t + d < len(ks):
-                        # Evidence of the token at distance d counts in slot REACH + d.
-                        rows.append(own[t + d] * span + REACH + d)
-                        cols.append(np.full(len(own[t + d]), t - a))
-            prepared.append((np.concatenate(rows), np.concatenate(cols), np.array(labels[a:b])))
+                # Evidence of the token at distance d counts in slot REACH + d.
+                mine = [own[t + d] * span + REACH + d for d in range(-REACH, REACH + 1) if 0 <= t + d < len(ks)]
+                rows += mine
+                sizes.append(sum(map(len, mine)))
+            prepared.append((np.concatenate(rows), np.array(sizes), np.array(labels[a:b])))
     rng = np.random.default_rng(3)
     step = 0
     for epoch in range(epochs):
@@ -393,11 +393,13 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EPO
             part = sorted((prepared[i] for i in order[at : at + BATCH]), key=lambda p: -len(p[2]))
             n, longest = len(part), len(part[0][2])
             features = np.concatenate([p[0] for p in part])
-            place = np.concatenate([p[1] * n + k for k, p in enumerate(part)])
+            sizes = np.concatenate([p[1] for p in part])
+            lengths = np.array([len(p[2]) for p in part])
+            # The place of each token, text after text, in the table of positions by texts.
+            place = np.concatenate([np.arange(m) * n + k for k, m in enumerate(lengths)])
             emit = np.zeros((longest * n, width))
-            np.add.at(emit, place, weights[features])
+            emit[place] = np.add.reduceat(weights[features], np.cumsum(sizes) - sizes)
             emit = emit.reshape(longest, n, width)
-            lengths = np.array([len(p[2]) for p in part])
             live = np.arange(longest)[:, None] < lengths
             # Forward and backward, scaled by their maxima.
             alpha, beta = np.zeros((longest, n, width)), np.zeros((longest, n, width))
@@ -428,9 +430,11 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EPO
                     pair -= np.exp(x).sum(axis=0)
             first -= chance[0].sum(axis=0)
             off = (gold - chance).reshape(longest * n, width) / n
-            touched, inverse = np.unique(features, return_inverse=True)
-            slope = np.zeros((len(touched), width))
-            np.add.at(slope, inverse, off[place])
+            order_of = np.argsort(features, kind="stable")
+            ordered = features[order_of]
+            begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            touched = ordered[begins]
+            slope = np.add.reduceat(off[np.repeat(place, sizes)[order_of]], begins)
             slope -= PRIOR * weights[touched]
             step += 1
             rate = RATE * (1 - 0.9 * (epoch / epochs))
@@ -462,7 +466,7 @@ def _marked(texts: list[str | None], model: Field) -> Iterator[tuple[int, str |
 
 def find(df: DataFrame, model: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kind, value): every personal detail as written, once per document."""
-    source = df.select(key, text)
+    source = widened(df.select(key, text))
     kind = source.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,7 +482,7 @@ def find(df: DataFrame, model: Field, key: str = "doc_id", text: str = "text") -
 
 def redact(df: DataFrame, model: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text): the texts with [NAME], [EMAIL], [PHONE], [ID_NUMBER] and [ADDRESS] in place of the details."""
-    source = df.select(key, text)
+    source = widened(df.select(key, text))
     kind = source.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
