@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from claimforge.session import widened
+
 DEFAULT_TOKENIZER = "byte_bpe_50k"
 #: Distinct pieces whose ids a Python worker remembers; a full memory is emptied, the result stays the same.
 MEMORY = 200_000
@@ -204,7 +206,7 @@ def encoder(name: str = DEFAULT_TOKENIZER, path: str | None = None) -> Encoder:
 
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = DEFAULT_TOKENIZER, path: str | None = None) -> DataFrame:
     """(key, ids): the ids of every row, one row per row of df; null and empty texts have no ids ([])."""
-    source = df.select(key, text)
+    source = widened(df.select(key, text))
     kind = source.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +233,7 @@ def token_counts(df: DataFrame, text: str = "text", name: str = DEFAULT_TOKENIZE
             sizes = pa.array([count(x) for x in batch.column(len(kept)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], sizes], names=[*kept, out])
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return widened(df.select(*kept, text)).mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", name: str = DEFAULT_TOKENIZER, path: str | None = None) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from claimforge.llm import blocks_seed
 from claimforge.llm.common import host_of
+from claimforge.session import widened
 
 #: Most pages of the corpus in the labelled table.
 LABELLED_PAGES = 800
@@ -428,7 +429,7 @@ def furniture_lines(pages: DataFrame, model: Model) -> DataFrame:
                     numbers += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["page_id", "line_no"])
 
-    return pages.select(F.col("page_id").cast("bigint"), "text", "html").mapInArrow(run, "page_id bigint, line_no int")
+    return widened(pages.select(F.col("page_id").cast("bigint"), "text", "html")).mapInArrow(run, "page_id bigint, line_no int")
 
 
 def main_texts(pages: DataFrame, model: Model) -> DataFrame:
@@ -444,4 +445,4 @@ def main_texts(pages: DataFrame, model: Model) -> DataFrame:
                     kept.append(None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["page_id", "main"])
 
-    return pages.select(F.col("page_id").cast("bigint"), "text", "html").mapInArrow(run, "page_id bigint, main string")
+    return widened(pages.select(F.col("page_id").cast("bigint"), "text", "html")).mapInArrow(run, "page_id bigint, main string")

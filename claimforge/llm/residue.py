@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from claimforge.llm import residue_seed
 from claimforge.llm.common import checkpointed, written
+from claimforge.session import widened
 
 HAMMING, SIMILARITY, LONG = 3, 0.8, 12
 #: Rows up to which a frontier (or the labelled nodes) is broadcast; beyond it, it is shuffled.
@@ -225,7 +226,7 @@ def page_units(pages: DataFrame, filler: frozenset[str]) -> DataFrame:
                         ids.append(i), numbers.append(n), out.append(u)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(out, pa.string())], names=["page_id", "line_no", "unit"])
 
-    return pages.select(F.col("page_id").cast("bigint"), "text").mapInArrow(run, "page_id bigint, line_no int, unit string").withColumn("uid", F.xxhash64("unit"))
+    return widened(pages.select(F.col("page_id").cast("bigint"), "text")).mapInArrow(run, "page_id bigint, line_no int, unit string").withColumn("uid", F.xxhash64("unit"))
 
 
 def _with_simhash(nodes: DataFrame) -> DataFrame:
