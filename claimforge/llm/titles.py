@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimforge.llm.common import checkpointed, written
 from claimforge.llm.titles_lexicon import spellings
 
 MIN_JACCARD = 0.3
@@ -83,24 +84,29 @@ def _prefixes(forms: DataFrame, ranks: DataFrame, t: float, name: str) -> DataFr
     return kept.select(F.col("form").alias(f"{name}_form"), f"{name}_size", f"{name}_at", "token.rank", "token.gram")
 
 
-def _typing_error(a: Column, b: Column) -> Column:
-    """Whether the forms are equal, or as far apart as one or two slips of the keyboard make them."""
-    d, n = F.levenshtein(a, b), F.least(F.length(a), F.length(b))
+#: Edits beyond which no slip of the keyboard explains a difference.
+FARTHEST = 4
+
+
+def _typing_error(a: Column, b: Column, d: Column) -> Column:
+    """Whether forms at distance d (-1: beyond FARTHEST) are equal, or as far apart as one or two slips of the keyboard make them."""
+    n = F.least(F.length(a), F.length(b))
     swapped = F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))
-    return (d == 0) | ((n >= 4) & (d <= 1)) | ((n >= 4) & (d == 2) & swapped) | ((n >= 8) & (d <= 2)) | ((n >= 12) & (d <= 3)) | ((n >= 16) & (d <= 4))
+    return (d == 0) | ((d > 0) & (((n >= 4) & (d <= 1)) | ((n >= 8) & (d <= 2)) | ((n >= 12) & (d <= 3)) | (n >= 16) | ((n >= 4) & (d == 2) & swapped)))
 
 
 def match_forms(forms: DataFrame, known: DataFrame, t: float = MIN_JACCARD) -> DataFrame:
     """(form, role_id, jaccard, distance): every verified candidate of every distinct form; known: (form, role_id)."""
-    left = forms.select("form").distinct().withColumn("grams", grams(F.col("form")))
+    left = checkpointed(forms.select("form").distinct()).withColumn("grams", grams(F.col("form")))
     right = known.withColumn("grams", grams(F.col("form")))
     every = left.select(F.explode("grams").alias("gram")).unionByName(right.select(F.explode("grams").alias("gram")))
     usable = right.select(F.explode("grams").alias("gram")).distinct()
     # Bounded by the reference list: only its tokens can make a match, so only they need a rank.
     counts = every.groupBy("gram").count().join(usable, "gram", "left_semi")
     ranks = counts.select("gram", F.col("count").alias("rank"))
-    x = _prefixes(left, ranks, t, "x").filter("rank >= 0").drop("rank")
-    y = _prefixes(right, ranks, t, "y").drop("rank")
+    ranks = checkpointed(ranks)
+    x = written(_prefixes(left, ranks, t, "x").filter("rank >= 0").drop("rank"))
+    y = written(_prefixes(right, ranks, t, "y").drop("rank"))
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("x_size") + F.col("y_size")))
     near = (
         x.join(y, "gram")
@@ -109,10 +115,12 @@ def match_forms(forms: DataFrame, known: DataFrame, t: float = MIN_JACCARD) -> D
         .select("x_form", "y_form")
         .distinct()
     )
+    # Written, or the checks would be made before the pairs are made distinct. The cheaper of the two comes first; both must hold.
+    near = written(near)
+    near = near.withColumn("distance", F.levenshtein("x_form", "y_form", FARTHEST)).filter(_typing_error(F.col("x_form"), F.col("y_form"), F.col("distance")))
     gx, gy = grams(F.col("x_form")), grams(F.col("y_form"))
     shared = F.size(F.array_intersect(gx, gy))
     exact = near.withColumn("jaccard", shared / (F.size(gx) + F.size(gy) - shared)).filter(F.col("jaccard") >= t)
-    exact = exact.withColumn("distance", F.levenshtein("x_form", "y_form")).filter(_typing_error(F.col("x_form"), F.col("y_form")))
     return exact.join(known.withColumnRenamed("form", "y_form"), "y_form").select(F.col("x_form").alias("form"), "role_id", "jaccard", "distance")
 
 
@@ -120,8 +128,9 @@ def match_titles(people: DataFrame, reference: DataFrame, key: str = "person_id"
     """(key, title, role_id, score): one row per row of people whose title isn't null or blank; role_id -1 if unmatched."""
     rows = people.select(F.col(key).alias("_key"), F.col(title).alias("_title")).filter(F.col("_title").isNotNull() & (F.regexp_replace("_title", r"(?U)\s+", "") != ""))
     titles = rows.select("_title").distinct()
-    spread = titles.select("_title", F.explode(variants(F.col("_title"))).alias("form"))
-    found = match_forms(spread, reference_forms(reference))
+    # Computed once: the join reads each of them several times.
+    spread = checkpointed(titles.select("_title", F.explode(variants(F.col("_title"))).alias("form")))
+    found = match_forms(spread, checkpointed(reference_forms(reference)))
     best = (
         spread.join(found, "form")
         .groupBy("_title")
