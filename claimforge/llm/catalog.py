@@ -123,7 +123,20 @@ def p2_unmatched(spark, folder):
 # ---- 3: surviving records ---------------------------------------------------------------------------
 
 
-@query("p3_found")
+def _p3_sql() -> str:
+    """The settled values by their definition: the latest usable record is also the most confident."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    text = r"trim(regexp_replace(value, '[\t-\r\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'), ' ')"
+    stand_ins = ", ".join(map(quoted, survivor.STAND_INS))
+    plain = rf"regexp_matches(t, '[\p{{L}}\p{{N}}]') AND lower(t) NOT IN ({stand_ins}) AND NOT regexp_matches(t, {quoted(survivor.CUT)}) AND NOT regexp_matches(lower(t), '^(?:https?://|www\.)|@')"
+    link = rf"regexp_matches(lower(t), {quoted(survivor.PERSON_LINK)}) AND NOT regexp_matches(t, '(?:…|\.\.+|-)$')"
+    fields = " UNION ALL ".join(f"SELECT person_key, version_id, confidence, retrieved_at, loaded_at, '{f}' AS field, {f} AS value FROM person_versions" for f in survivor.FIELDS)
+    return f"""WITH usable AS (SELECT * FROM (SELECT *, {text} AS t FROM ({fields})) WHERE person_key IS NOT NULL AND value IS NOT NULL AND CASE WHEN field = 'linkedin' THEN {link} ELSE {plain} END),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY person_key, field ORDER BY retrieved_at DESC NULLS LAST, confidence DESC NULLS LAST, loaded_at NULLS LAST, version_id) AS n, max(confidence) OVER (PARTITION BY person_key, field) AS top FROM usable)
+SELECT person_key, field, version_id FROM ranked WHERE n = 1 AND confidence IS NOT DISTINCT FROM top AND person_key IN (SELECT person_key FROM person_versions GROUP BY person_key HAVING count(*) >= 2)"""
+
+
+@query("p3_found", _p3_sql())
 def p3_found(spark, folder):
     versions = table(spark, folder, "person_versions")
     several = versions.groupBy("person_key").count().filter("count >= 2").select("person_key")
