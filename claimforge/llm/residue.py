@@ -38,6 +38,7 @@ HAMMING, SIMILARITY, LONG = 3, 0.8, 12
 #: Rows up to which a frontier (or the labelled nodes) is broadcast; beyond it, it is shuffled.
 BROADCAST_ROWS = 20_000
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+PAIRS = list(itertools.combinations(BLOCKS, 2))
 #: A word of dummy Latin stands on at least this share of the lines found by the well-known words: bounds the list.
 FILLER_SHARE = 0.01
 
@@ -168,7 +169,7 @@ def simhash(texts: list[str]) -> np.ndarray:
 def table_keys(sim: Column) -> Column:
     """The ten keys of a hash: two of its five blocks, with the number of the table."""
     keys = []
-    for n, ((a, p), (b, q)) in enumerate(itertools.combinations(BLOCKS, 2)):
+    for n, ((a, p), (b, q)) in enumerate(PAIRS):
         left = F.shiftrightunsigned(sim, a).bitwiseAND(F.lit((1 << p) - 1))
         right = F.shiftrightunsigned(sim, b).bitwiseAND(F.lit((1 << q) - 1))
         keys.append(left * F.lit(1 << 13) + right + F.lit(n << 26))
@@ -254,15 +255,53 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+
+def _keys(sims: np.ndarray) -> list[np.ndarray]:
+    """table_keys in numpy: for each table the keys of all hashes."""
+    u = sims.view(np.uint64)
+    part = [(u >> np.uint64(at)) & np.uint64((1 << size) - 1) for at, size in BLOCKS]
+    return [part[i] << np.uint64(13) | part[j] for i, j in itertools.combinations(range(len(BLOCKS)), 2)]
+
+
+def _near(nodes: DataFrame, frontier: DataFrame) -> DataFrame:
+    """(uid, unit, sim, f_unit, talk): nodes whose hash differs from one of the frontier in at most HAMMING bits.
+
+    A frontier of up to BROADCAST_ROWS rows goes to every partition, which looks its hashes up in the ten tables; a larger one is joined on
+    the same tables by a shuffle. The pairs are the same.
+    """
+    rows = frontier.select("unit", "sim", "talk").limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        edge = frontier.select(F.col("unit").alias("f_unit"), F.col("sim").alias("f_sim"), "talk", F.explode(table_keys(F.col("sim"))).alias("key"))
+        met = nodes.withColumn("key", F.explode(table_keys(F.col("sim")))).join(edge, "key")
+        return met.filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("f_sim"))) <= HAMMING).select("uid", "unit", "sim", "f_unit", "talk").distinct()
+    names, talks = pa.array([r.unit for r in rows], pa.string()), pa.array([r.talk for r in rows], pa.bool_())
+    known = np.array([r.sim for r in rows], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [(o := np.argsort(k, kind="stable"), k[o]) for k in _keys(known)]
+        for batch in batches:
+            sims = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            pairs = []
+            for own, (order, held) in zip(_keys(sims), tables):
+                lo, hi = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+                i = np.repeat(np.arange(len(own)), hi - lo)
+                j = order[np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
+                close = np.bitwise_count((sims[i] ^ known[j]).view(np.uint64)) <= HAMMING
+                pairs.append(np.column_stack([i[close], j[close]]))
+            found = np.unique(np.concatenate(pairs), axis=0)
+            take = batch.take(pa.array(found[:, 0]))
+            j = pa.array(found[:, 1])
+            yield pa.RecordBatch.from_arrays([*take.columns, names.take(j), talks.take(j)], names=["uid", "unit", "sim", "f_unit", "talk"])
+
+    return nodes.select("uid", "unit", "sim").mapInArrow(run, "uid bigint, unit string, sim bigint, f_unit string, talk boolean")
+
+
 def spread(nodes: DataFrame, trusted: DataFrame) -> DataFrame:
     """(uid, talk): the labels of all nodes in a component with a trusted line. nodes: (uid, unit, sim)."""
     labelled = None
     frontier = trusted
-    keyed = nodes.withColumn("key", F.explode(table_keys(F.col("sim"))))
     while True:
-        edge = _small(frontier.select(F.col("unit").alias("f_unit"), F.col("sim").alias("f_sim"), "talk", F.explode(table_keys(F.col("sim"))).alias("key")))
-        near = keyed.join(edge, "key").filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("f_sim"))) <= HAMMING)
-        found = near.filter((F.col("unit") == F.col("f_unit")) | _similar("unit", "f_unit")).select("uid", "unit", "sim", "talk").distinct()
+        found = _near(nodes, frontier).filter((F.col("unit") == F.col("f_unit")) | _similar("unit", "f_unit")).select("uid", "unit", "sim", "talk").distinct()
         if labelled is not None:
             found = found.join(labelled.select("uid", "talk"), ["uid", "talk"], "left_anti")
         frontier = checkpointed(found)

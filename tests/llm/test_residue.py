@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimforge.llm import residue
 
@@ -42,6 +43,19 @@ def test_labels_spread_through_chains(spark):
     assert got == want
 
 
+def test_both_ways_to_meet_the_frontier(spark, monkeypatch):
+    rng = random.Random(3)
+    sims = [rng.getrandbits(63) for _ in range(40)]
+    sims += [x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in sims]
+    sims = [x - (1 << 64) if x >> 63 else x for x in sims]
+    nodes = spark.createDataFrame([(i, f"u{i}", s) for i, s in enumerate(sims)], "uid long, unit string, sim long")
+    edge = nodes.filter("uid < 40").withColumn("talk", F.lit(False))
+    small = sorted(map(tuple, residue._near(nodes, edge).collect()))
+    monkeypatch.setattr(residue, "BROADCAST_ROWS", 5)
+    assert small == sorted(map(tuple, residue._near(nodes, edge).collect())) and len(small) >= 80
+    assert residue._near(nodes.limit(0), edge).count() == 0 and residue._near(nodes, edge.limit(0)).count() == 0
+
+
 def test_tables_miss_no_pair(spark):
     rng = random.Random(1)
     rows = []
@@ -52,8 +66,6 @@ def test_tables_miss_no_pair(spark):
             y ^= 1 << bit
         rows.append((i, x - (1 << 64) if x >> 63 else x, y - (1 << 64) if y >> 63 else y))
     df = spark.createDataFrame(rows, "i int, x long, y long")
-    from pyspark.sql import functions as F
-
     assert df.filter(~F.arrays_overlap(residue.table_keys(F.col("x")), residue.table_keys(F.col("y")))).count() == 0
 
 
