@@ -170,3 +170,14 @@ def snippet_people(hits: DataFrame, companies: DataFrame) -> DataFrame:
     titled = T.looks_like_title(F.col("title")) | ((tail != "") & chrome.between(2, 41) & T.looks_like_title(tail))
     kept = found.filter(T.looks_like_name(F.col("name")) & titled).filter(~T.other_company(F.concat_ws(" ", "title", "text"), F.col("terms"))).withColumn("name_key", T.person_key(F.col("name"))).filter("name_key <> ''")
     return kept.groupBy("company_id", "name_key").agg(F.min_by(F.struct("name", "title", "hit_id"), F.struct("hit_id", "seq")).alias("b")).select("company_id", "name_key", "b.*")
+
+
+def person_confidence(evidence: DataFrame, companies: DataFrame) -> DataFrame:
+    """(person_id, confidence): how sure the link to the company is: the best item, lifted on the company's own domain and for
+    quoted titles, plus up to 0.15 for further items; 0.98 at most. Persons without evidence have no row."""
+    own = companies.select("company_id", F.regexp_replace(F.lower(T.blank(F.col("domain"))), r"^www\.", "").alias("domain"))
+    on_domain = (F.col("domain") != "") & F.contains(F.lower(T.blank(F.col("source_url"))), F.col("domain"))
+    titled = F.coalesce(F.col("claim_type") == "person_title", F.lit(False)) & (T.blank(F.col("source_text")) != "")
+    value = F.coalesce("confidence", F.lit(0.0)) + F.when(on_domain, 0.15).otherwise(0.0) + F.when(titled, 0.1).otherwise(0.0)
+    items = evidence.filter("person_id IS NOT NULL").join(own, "company_id").groupBy("person_id").agg(F.max(value).alias("best"), F.count(F.lit(1)).alias("n"))
+    return items.select("person_id", F.round(F.least(F.lit(0.98), F.greatest("best", F.lit(0.0)) + F.least(F.lit(0.15), F.lit(0.05) * (F.col("n") - 1))), 2).alias("confidence"))

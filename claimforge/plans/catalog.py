@@ -314,6 +314,15 @@ def top_people(spark, folder):
     return people.top_people(person_scores(spark, folder)).select("company_id", "person_id", "name", "total", "rank")
 
 
+@query(
+    rf"""SELECT person_id, round(least(CAST(0.98 AS DOUBLE), greatest(max(coalesce(confidence, 0) + CASE WHEN domain <> '' AND contains(lower({_b('source_url')}), domain) THEN CAST(0.15 AS DOUBLE) ELSE 0 END
+  + CASE WHEN claim_type = 'person_title' AND {_b('source_text')} <> '' THEN CAST(0.1 AS DOUBLE) ELSE 0 END), 0) + least(CAST(0.15 AS DOUBLE), CAST(0.05 AS DOUBLE) * (count(*) - 1))), 2) AS confidence
+FROM evidence JOIN (SELECT company_id, {_DOMAIN} AS domain FROM companies) USING (company_id) WHERE person_id IS NOT NULL GROUP BY person_id"""
+)
+def person_confidence(spark, folder):
+    return people.person_confidence(table(spark, folder, "evidence"), table(spark, folder, "companies"))
+
+
 @query(
     """SELECT evidence_id, company_id FROM evidence e WHERE EXISTS (SELECT 1 FROM pages p WHERE p.company_id = e.company_id AND regexp_replace(p.final_url, '/+$', '') = regexp_replace(coalesce(e.source_url, ''), '/+$', ''))"""
 )
