@@ -1,14 +1,14 @@
-"""Problem 7: template residue and error-page text, by partitioned SimHash tables and label propagation.
+"""Problem 7: template residue and error-page text, by SimHash and label propagation.
 
 Units are the lines of pages.text in a normal form (lower case, numbers as 0, every unfilled placeholder as one
 token, dummy Latin as one token, incident numbers and paths cut off), and what a separator (" - ", " | ") leaves of them, so that "Firm - Page not
-found" has the unit "page not found". Equal units are one node. Nodes whose 64-bit SimHashes differ in at most HAMMING bits and whose shingle sets
+found" has the unit "page not found". Equal units are one node. Nodes whose 64-bit SimHashes differ in at most REACH bits and whose shingle sets
 have a Jaccard of at least SIMILARITY (character 4-grams of short units, five-word shingles of units of LONG words or more) are linked.
 
 The trusted labels of ``residue_seed`` (residue, or speaking about it) spread through the links until nothing changes: a connected
-component that holds a trusted line has its label. Each round joins the newly labelled nodes, the frontier, with ten tables
-keyed by two of five bit blocks: two hashes within HAMMING bits agree on two blocks, so no pair is lost. Only labels spread, so links between unlabelled nodes are
-never made, and a line that a third of all pages have is one node. A page is residue if a line has a residue unit and none that speaks about it.
+component that holds a trusted line has its label. Each round compares the newly labelled nodes, the frontier, with the hashes of all nodes whose shingle sets
+are of a fitting size; REACH is so wide that the exact Jaccard decides (tables keyed by bit blocks find hashes within a few bits only and would lose most pairs).
+Only labels spread, so links between unlabelled nodes are never made, and a line that a third of all pages have is one node. A page is residue if a line has a residue unit and none that speaks about it.
 
 Dummy Latin: the words of lines that hold three or more words of the well-known text, kept if such lines are where they mostly stand.
 
@@ -34,9 +34,14 @@ from claimforge.llm import residue_seed
 from claimforge.llm.common import checkpointed, written
 from claimforge.session import widened
 
+#: HAMMING is the radius of copies but for a slip, and what spread takes unless told otherwise; the query asks for REACH.
 HAMMING, SIMILARITY, LONG = 3, 0.8, 12
-#: Rows up to which a frontier (or the labelled nodes) is broadcast; beyond it, it is shuffled.
+#: At a Jaccard of 0.8 a bit of two SimHashes differs with probability 0.15 (arccos(2 * 0.8 / 1.8) / pi), 0.19 for sets of four and five shingles. Of 64 bits
+#: more than 26 then differ in two of ten million pairs, 13 of a million of the tiny sets; so the Jaccard decides, and the hashes only spare its computation.
+REACH = 26
+#: Rows of a frontier that go to the partitions at once, and rows up to which the labelled nodes are broadcast.
 BROADCAST_ROWS = 20_000
+PAIRS_AT_ONCE = 2_000_000
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PAIRS = list(itertools.combinations(BLOCKS, 2))
 #: A word of dummy Latin stands on at least this share of the lines found by the well-known words: bounds the list.
@@ -167,7 +172,7 @@ def simhash(texts: list[str]) -> np.ndarray:
 
 
 def table_keys(sim: Column) -> Column:
-    """The ten keys of a hash: two of its five blocks, with the number of the table."""
+    """The ten keys of a hash: two of its five blocks, with the number of the table: hashes within HAMMING bits agree on one; too few for SIMILARITY."""
     keys = []
     for n, ((a, p), (b, q)) in enumerate(PAIRS):
         left = F.shiftrightunsigned(sim, a).bitwiseAND(F.lit((1 << p) - 1))
@@ -176,21 +181,6 @@ def table_keys(sim: Column) -> Column:
     return F.array(*keys)
 
 
-def shingles(text: Column) -> Column:
-    """The set that similarity is measured on."""
-    padded = F.concat(F.lit("^"), text, F.lit("$"))
-    words = F.split(text, " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 3, F.lit(1))), lambda i: padded.substr(i, F.lit(4)))
-    five = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 5), " "))
-    return F.array_distinct(F.when(F.size(words) >= LONG, five).otherwise(grams))
-
-
-def _similar(a: str, b: str) -> Column:
-    x, y = shingles(F.col(a)), shingles(F.col(b))
-    shared = F.size(F.array_intersect(x, y))
-    return shared / (F.size(x) + F.size(y) - shared) >= SIMILARITY
-
-
 def filler_words(pages: DataFrame) -> frozenset[str]:
     """The words of dummy Latin in the corpus; at most (words of a line) / FILLER_SHARE of them."""
     lines = pages.filter(F.col("text").isNotNull()).select(F.explode(F.split(F.lower("text"), "\n")).alias("line"))
@@ -256,52 +246,77 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 
-def _keys(sims: np.ndarray) -> list[np.ndarray]:
-    """table_keys in numpy: for each table the keys of all hashes."""
-    u = sims.view(np.uint64)
-    part = [(u >> np.uint64(at)) & np.uint64((1 << size) - 1) for at, size in BLOCKS]
-    return [part[i] << np.uint64(13) | part[j] for i, j in itertools.combinations(range(len(BLOCKS)), 2)]
+def _grams(text: str) -> frozenset[str]:
+    """The set that similarity is measured on."""
+    words = text.split(" ")
+    if len(words) >= LONG:
+        return frozenset(" ".join(words[i : i + 5]) for i in range(len(words) - 4))
+    padded = f"^{text}$"
+    return frozenset(padded[i : i + 4] for i in range(max(1, len(padded) - 3)))
 
 
-def _near(nodes: DataFrame, frontier: DataFrame) -> DataFrame:
-    """(uid, unit, sim, f_unit, talk): nodes whose hash differs from one of the frontier in at most HAMMING bits.
+def _near(nodes: DataFrame, frontier: DataFrame, radius: int = HAMMING, similar: bool = False) -> DataFrame:
+    """(uid, unit, sim, f_unit, talk): nodes whose hash differs from one of the frontier in at most radius bits; with similar, only those
+    whose shingle sets have a Jaccard of at least SIMILARITY.
 
-    A frontier of up to BROADCAST_ROWS rows goes to every partition, which looks its hashes up in the ten tables; a larger one is joined on
-    the same tables by a shuffle. The pairs are the same.
+    The frontier goes to every partition in pieces of BROADCAST_ROWS rows. With similar, a node meets only the rows whose sets have
+    a size that allows SIMILARITY.
     """
-    rows = frontier.select("unit", "sim", "talk").limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        edge = frontier.select(F.col("unit").alias("f_unit"), F.col("sim").alias("f_sim"), "talk", F.explode(table_keys(F.col("sim"))).alias("key"))
-        met = nodes.withColumn("key", F.explode(table_keys(F.col("sim")))).join(edge, "key")
-        return met.filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("f_sim"))) <= HAMMING).select("uid", "unit", "sim", "f_unit", "talk").distinct()
+    pieces, rows = [], []
+    for r in frontier.select("unit", "sim", "talk").toLocalIterator():
+        rows.append(r)
+        if len(rows) == BROADCAST_ROWS:
+            pieces.append(_near_piece(nodes, rows, radius, similar))
+            rows = []
+    if rows or not pieces:
+        pieces.append(_near_piece(nodes, rows, radius, similar))
+    return reduce(DataFrame.unionByName, pieces)
+
+
+def _near_piece(nodes: DataFrame, rows: list, radius: int, similar: bool) -> DataFrame:
+    held = [_grams(r.unit) if similar else frozenset() for r in rows]
+    order = sorted(range(len(rows)), key=lambda k: len(held[k]))
+    rows, held = [rows[k] for k in order], [held[k] for k in order]
     names, talks = pa.array([r.unit for r in rows], pa.string()), pa.array([r.talk for r in rows], pa.bool_())
-    known = np.array([r.sim for r in rows], np.int64)
+    known, held_sizes = np.array([r.sim for r in rows], np.int64), np.array([len(x) for x in held], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [(o := np.argsort(k, kind="stable"), k[o]) for k in _keys(known)]
         for batch in batches:
             sims = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            pairs = []
-            for own, (order, held) in zip(_keys(sims), tables):
-                lo, hi = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
-                i = np.repeat(np.arange(len(own)), hi - lo)
-                j = order[np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
-                close = np.bitwise_count((sims[i] ^ known[j]).view(np.uint64)) <= HAMMING
-                pairs.append(np.column_stack([i[close], j[close]]))
-            found = np.unique(np.concatenate(pairs), axis=0)
-            take = batch.take(pa.array(found[:, 0]))
-            j = pa.array(found[:, 1])
+            own = [_grams(t) for t in batch.column(1).to_pylist()] if similar else []
+            lo, hi = np.zeros(len(sims), np.int64), np.full(len(sims), len(known), np.int64)
+            if similar:
+                sizes = np.array([len(x) for x in own], np.int64)
+                # One shingle of slack, so that no rounding can drop a pair; the Jaccard decides.
+                lo = np.searchsorted(held_sizes, np.floor(SIMILARITY * sizes) - 1, "left")
+                hi = np.searchsorted(held_sizes, np.ceil(sizes / SIMILARITY) + 1, "right")
+            ends, took, met, start = np.cumsum(hi - lo), [], [], 0
+            while start < len(sims):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS_AT_ONCE, "right")))
+                n = (hi - lo)[start:stop]
+                i = np.repeat(np.arange(start, stop), n)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[start:stop], n)
+                close = np.bitwise_count((sims[i] ^ known[j]).view(np.uint64)) <= radius
+                for x, y in zip(i[close].tolist(), j[close].tolist()) if similar else ():
+                    shared = len(own[x] & held[y])
+                    if shared / (len(own[x]) + len(held[y]) - shared) >= SIMILARITY:
+                        took.append(x), met.append(y)
+                if not similar:
+                    took += i[close].tolist()
+                    met += j[close].tolist()
+                start = stop
+            take, j = batch.take(pa.array(took, pa.int64())), pa.array(met, pa.int64())
             yield pa.RecordBatch.from_arrays([*take.columns, names.take(j), talks.take(j)], names=["uid", "unit", "sim", "f_unit", "talk"])
 
     return nodes.select("uid", "unit", "sim").mapInArrow(run, "uid bigint, unit string, sim bigint, f_unit string, talk boolean")
 
 
-def spread(nodes: DataFrame, trusted: DataFrame) -> DataFrame:
+def spread(nodes: DataFrame, trusted: DataFrame, radius: int = HAMMING) -> DataFrame:
     """(uid, talk): the labels of all nodes in a component with a trusted line. nodes: (uid, unit, sim)."""
     labelled = None
     frontier = trusted
     while True:
-        found = _near(nodes, frontier).filter((F.col("unit") == F.col("f_unit")) | _similar("unit", "f_unit")).select("uid", "unit", "sim", "talk").distinct()
+        found = _near(nodes, frontier, radius, similar=True).select("uid", "unit", "sim", "talk").distinct()
         if labelled is not None:
             found = found.join(labelled.select("uid", "talk"), ["uid", "talk"], "left_anti")
         frontier = checkpointed(found)
@@ -319,7 +334,7 @@ def residue_lines(pages: DataFrame) -> DataFrame:
     filler = filler_words(pages)
     placed = written(page_units(pages, filler))
     nodes = checkpointed(_with_simhash(placed.groupBy("uid").agg(F.first("unit").alias("unit"))))
-    labels = checkpointed(spread(nodes, seeds(pages.sparkSession, filler)))
+    labels = checkpointed(spread(nodes, seeds(pages.sparkSession, filler), REACH))
     marked = placed.select("page_id", "line_no", "uid").join(_small(labels), "uid")
     return marked.groupBy("page_id", "line_no").agg(F.max("talk").alias("talk")).filter(~F.col("talk")).select("page_id", "line_no")
 

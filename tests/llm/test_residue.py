@@ -79,3 +79,32 @@ def test_simhash_is_local():
 @pytest.mark.parametrize(("line", "slot"), [("{{x}}", True), ("Dear ${first}", True), ("__A_B__", True), ("#{tag}", True), ("[Enter headline]", True), ("<%= t %>", True), ("<SITE_TITLE>", True), ("a {b c} d", False), ("50% of 20%", False), ("f(x) [1]", False), ("__init", False), ("{%city%}", True), ("@@A@@", True)])
 def test_slots(line, slot):
     assert (residue.SLOT in residue.normal(line, frozenset())) is slot
+
+
+def test_links_are_those_of_the_jaccard_alone(spark):
+    """Against all pairs: hashes of most links differ in more bits than tables of bit blocks reach."""
+    base = ["the page you were looking for does not exist", "something went wrong please try again", "the site is down for maintenance and will be back shortly", "please enable javascript in your browser and continue", "lorem"]
+    long = "this long notice tells that the page of the harbour office which you asked for has been taken away from this server and will not come back before the next spring tide".split()
+    rng = random.Random(11)
+    texts = list(base)
+    for t in base[:4]:
+        for k in range(60):
+            words = t.split()
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = [rng.choice(["", "now", "a", words[at] + "s", words[at][1:]])]
+            texts.append(" ".join(" ".join(words).split()))
+    texts += [" ".join(long[:k] + ["x"] * (k % 3) + long[k + k % 2 :]) for k in range(len(long))]
+    texts = sorted(set(texts))
+    sims = residue.simhash(texts).tolist()
+
+    def grams(t):
+        w, p = t.split(), f"^{t}$"
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 12 else {p[i : i + 4] for i in range(max(1, len(p) - 3))}
+
+    sets = list(map(grams, texts))
+    want = {(a, b) for a in range(len(texts)) for b in range(len(texts)) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    nodes = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(zip(texts, sims))], "uid long, unit string, sim long")
+    number = {t: i for i, t in enumerate(texts)}
+    got = {(r.uid, number[r.f_unit]) for r in residue._near(nodes, nodes.withColumn("talk", F.lit(False)), residue.REACH, similar=True).collect()}
+    far = [1 for a, b in want if bin((sims[a] ^ sims[b]) & (2**64 - 1)).count("1") > 3]
+    assert got == want and len(far) > len(want) / 2
