@@ -1,3 +1,5 @@
+import itertools
+import random
 from collections import defaultdict
 
 from claimforge.llm import repeated
@@ -50,3 +52,23 @@ def test_sequences_cover_the_same_lines(spark):
     assert got["x.example", 2, "menu", "home"] == 10 and got["x.example", 3, "menu", "foot er"] == 10
     singles = {k[2] for k in got if k[1] == 1}
     assert singles == {"menu", "home", "foot er"} and all({k[2], k[3]} <= singles for k in got)
+
+
+def test_sequences_with_lines_between_and_of_any_length(spark):
+    """The pages hold nine lines in order and a frequent line between two of them on some."""
+    rows = [(i, f"https://z.example/{i}", "\n".join(["a", *(["x"] if i % 2 else []), *"bcdefghi"]), 1) for i in range(16)]
+    got = {tuple(r.lines): (r.length, r.urls, r.occurrences) for r in repeated.sequences(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got["a", "b"] == (2, 16, 16) and got["a", "x"] == (2, 8, 8) and got[tuple("abcdefghi")] == (9, 16, 16) and got[tuple("axbcdefghi")] == (10, 8, 8)
+    assert sum(k[0] > 2 for k in got.values()) == 2 and len(got) == 10 + 45 + 2
+
+
+def test_closed_sequences_against_all_subsequences():
+    rng = random.Random(1)
+    holds = lambda p, s: (lambda it: all(x in it for x in p))(iter(s))
+    for _ in range(60):
+        groups = [(rng.randint(1, 3), [(tuple(rng.choice("abcde") for _ in range(rng.randint(1, 7))), 1) for _ in range(rng.choice([1, 1, 2]))]) for _ in range(rng.randint(2, 7))]
+        every = {p for _, pages in groups for s, _ in pages for n in range(1, len(s) + 1) for p in itertools.combinations(s, n)}
+        urls = {p: n for p in every if (n := sum(w for w, pages in groups if any(holds(p, s) for s, _ in pages))) >= 3}
+        want = sorted((p, n) for p, n in urls.items() if len(p) <= 2 or not any(len(q) > len(p) and urls[q] == n and holds(p, q) for q in urls))
+        assert sorted((p, n) for p, n, _ in repeated.closed_sequences(groups, 3)) == want
+        assert sorted((p, n) for x in "abcde" for p, n, _ in repeated.closed_sequences(groups, 3, x)) == want
