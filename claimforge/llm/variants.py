@@ -2,7 +2,7 @@
 
 The metric is the Levenshtein distance between keys: of a person "surname given" (order, case, accents, forms of
 address, middle initials and nicknames resolved), of a company its brand, that is, its name without legal
-forms and without words that many companies have. Keys are compared within a block: people of one company, companies of one sector.
+forms and without words that stand with many brands. Keys are compared within a block: people of one company, companies of one sector.
 
 ``radius_join`` finds all pairs of keys within radius r of a block, exactly. Nearest-pivot cells alone don't divide such short
 strings: distances to pivots differ by less than the 2r of the boundary, so nearly every name would be copied to nearly every
@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 from claimforge.llm.common import checkpointed
 
 PIVOTS = 4
-#: A word that at least this share of all companies (and COMMON_LEAST companies) have says nothing of the brand; at most
-#: (words of a name) / COMMON_SHARE words can be that common, which bounds the list.
-COMMON_SHARE, COMMON_LEAST = 0.004, 12
+#: A word that stands with at least this many different brands says nothing of the brand. How many companies have it doesn't count: they may be one.
+COMMON_LEAST = 12
 
 # Forms of address, legal forms, second words of firms with their short forms, sectors, given names with short forms.
 ADDRESS = set("mr mrs ms miss mx dr prof professor sir dame herr frau hr fr mme mlle m. monsieur madame sr sra srta señor señora don doña dipl ing med phd mba jr sen".split())
@@ -255,6 +254,36 @@ def firm_key(name: str | None, common: frozenset[str], short: dict[str, str], ne
     return (word, " ".join(sorted(sector)), " ".join(sorted(second))) if len(word) >= 3 else None
 
 
+def _whole_key(name: str | None) -> tuple[str, str, str] | None:
+    """The key of a name that has nothing but common words: all of them."""
+    if not name or re.fullmatch(r"\s*[A-Z]{2,5}\s*", name):
+        return None
+    words = firm_words(name)
+    word = "".join(w for w in words if w not in LEGAL) or "".join(words)
+    return (word, "", "") if len(word) >= 3 else None
+
+
+def _common_words(spelled: DataFrame, short: dict[str, str]) -> frozenset[str]:
+    """The words that stand with at least COMMON_LEAST different remaining brands, a brand being what itself stands with fewer."""
+    known = SECTORS | short.keys()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near_to = _near(sorted(known))
+        for batch in batches:
+            pairs = set()
+            for name in batch.column(0).to_pylist():
+                core = [w for w in firm_words(name or "") if w not in LEGAL and w not in known and not (len(w) >= 4 and near_to(w))]
+                for i, w in enumerate(core):
+                    if len(w) >= 4 and (rest := "".join(core[:i] + core[i + 1 :])):
+                        pairs.add((w, rest))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["w", "rest"])
+
+    pairs = checkpointed(spelled.select("name").distinct().mapInArrow(run, "w string, rest string").distinct())
+    many = pairs.groupBy("w").count().filter(F.col("count") >= COMMON_LEAST)
+    brands = pairs.join(many.select(F.col("w").alias("rest")), "rest", "left_anti")
+    return frozenset(r.w for r in brands.groupBy("w").count().filter(F.col("count") >= COMMON_LEAST).select("w").collect())
+
+
 def _near(known: list[str]):
     """The finder of a known word of five letters or more that is one slip (a letter more, less or other, or two swapped) away."""
 
@@ -281,16 +310,16 @@ def company_pairs(companies: DataFrame) -> DataFrame:
     """(id_a, id_b): rows of companies that spell one organisation."""
     names = F.array_distinct(F.array_compact(F.concat(F.array("legal_name", "canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))))
     spelled = companies.select("company_id", F.explode(names).alias("name"))
-    word = spelled.select("company_id", F.explode(F.split(F.lower("name"), r"[^\p{L}\p{N}]+")).alias("w")).filter(F.length("w") >= 4)
-    least = max(COMMON_LEAST, int(COMMON_SHARE * companies.count()))
-    frequent = word.distinct().groupBy("w").count().filter(F.col("count") >= least)
     short = {s: k for k, v in SECOND.items() for s in [k, *v.split()]}
-    common = frozenset(SECTORS | {r.w for r in frequent.select("w").collect()}) - LEGAL - short.keys()
+    fixed = frozenset(SECTORS) - LEGAL - short.keys()
+    common = fixed | _common_words(spelled, short)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near_to = _near(sorted(common | short.keys()))
+        near_to, near_fixed = _near(sorted(common | short.keys())), _near(sorted(fixed | short.keys()))
+        # No name may lose its last word: first the words that only the table calls common count again, then all.
+        key = lambda n: firm_key(n, common, short, near_to) or firm_key(n, fixed, short, near_fixed) or _whole_key(n)
         for batch in batches:
-            rows = [(i, *k) for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (k := firm_key(n, common, short, near_to))]
+            rows = [(i, *k) for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (k := key(n))]
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=["id", "brand", "sector", "second"])
 

@@ -58,3 +58,13 @@ def test_companies(spark):
     got = {(r.id_a, r.id_b) for r in variants.company_pairs(df).collect()}
     assert {(1, 2), (1, 4), (1, 7), (2, 4), (2, 7), (4, 7)} <= got and not {p for p in got if {3, 5, 6} & set(p)} and (1, 8) not in got
     assert variants.company_pairs(df.limit(0)).count() == 0
+
+
+def test_a_firm_under_many_domains_keeps_its_links(spark):
+    """One firm on twenty rows, a word with many brands, and names of common words alone."""
+    brands = ["balvori", "cendulat", "dorvenik", "fasilmo", "gurentap", "hilvasto", "jokamend", "kestrupo", "lavondir", "mirtelka", "nostuvel", "pardimon", "quelvast", "rostibel"]
+    rows = [(i, "Menulorso Travel Services Ltd") for i in range(20)] + [(20, "Menulrso Travel"), (21, "Menulorso Travel")]
+    rows += [(100 + i, f"{b.title()} Dental GmbH") for i, b in enumerate(brands)] + [(130, "Dental Balvori"), (131, "Dental Ltd"), (132, "Dental Ltd"), (140, "Travel Services Ltd"), (141, "Travel Services")]
+    df = spark.createDataFrame([(i, n, None, None) for i, n in rows], "company_id long, legal_name string, canonical_name string, aliases array<string>")
+    got = {(r.id_a, r.id_b) for r in variants.company_pairs(df).collect()}
+    assert got == {(a, b) for a in range(22) for b in range(a + 1, 22)} | {(100, 130), (131, 132), (140, 141)}
