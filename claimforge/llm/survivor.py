@@ -1,7 +1,7 @@
 """Problem 3: the best representative of each group of duplicates, by iterative truth discovery.
 
 Every usable value of a record is a claim of the record's sources. Starting from equal reliabilities, two steps alternate
-until no reliability moves by more than TOLERANCE (at most ROUNDS times):
+until no reliability moves by more than TOLERANCE (not within ROUNDS: an error, never an unfinished result):
 
 * a value's support is the sum of its claims' weights, each the record's confidence times the mean reliability of its
   sources; a value's share is its support over that of all values of its person and field;
@@ -24,12 +24,16 @@ weighs 0 and ranks below any other, null retrieved_at is the oldest.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.llm.common import checkpointed, host_of
 
-ROUNDS = 6
+log = logging.getLogger(__name__)
+
+ROUNDS = 100
 TOLERANCE = 0.005
 PRIOR = 4.0
 SALTS = 8
@@ -95,7 +99,7 @@ def resolve(versions: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERA
     votes = checkpointed(votes.withColumn("salt", F.pmod("v", F.lit(SALTS)).cast("int")))
     reliability = checkpointed(votes.groupBy("source").agg(F.lit(0.8).alias("r")))
     shares = None
-    for _ in range(max(1, rounds)):
+    for n in range(1, max(1, rounds) + 1):
         copies = reliability.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
         support = votes.join(copies, ["source", "salt"]).groupBy("p", "v").agg(F.sum(F.col("w") * F.col("r")).alias("s"), F.max("anchor").alias("anchor"))
         total = support.groupBy("p").agg(F.sum("s").alias("all"), F.count(F.lit(1)).alias("values"))
@@ -107,7 +111,10 @@ def resolve(versions: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERA
         furthest = moved.agg(F.max("d")).first()[0]
         reliability = moved.drop("d")
         if furthest is None or furthest <= tolerance:
+            log.info("reliabilities stand after %d rounds", n)
             break
+    else:
+        raise RuntimeError(f"reliabilities still move by {furthest} after {n} rounds (tolerance {tolerance})")
     keyed = claimed.select("person_key", "field", "form", "value", "version_id", "confidence", "retrieved_at", "loaded_at", F.xxhash64("person_key", "field").alias("p"), F.xxhash64("form", "field", "person_key").alias("v"))
     # The record that stands for a value: the latest that claims it.
     record = keyed.groupBy("person_key", "field", "p", "v").agg(F.max_by(F.struct("value", "version_id"), _rank()).alias("record"), F.max(_rank()).alias("rank"))

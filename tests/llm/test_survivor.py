@@ -66,3 +66,17 @@ def test_usable(spark, field, value, good):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(survivor.usable(field, F.lit(value).cast("string"))).first()[0] is good
+
+
+def test_unfinished_rounds_are_an_error(spark):
+    """Two sources contest many persons: the weights move for more than one round, and stand in the end."""
+    rows = []
+    for p in range(20):
+        rows.append((2 * p, p, "Chief", None, None, 0.9, ["https://a.example/x"], day(1), day(1), None, 0))
+        rows.append((2 * p + 1, p, "Head" if p % 3 else "Chief", None, None, 0.5, ["https://b.example/x"], day(2), day(2), None, 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        survivor.resolve(df, rounds=1, tolerance=1e-9)
+    tight = {r.person_key: r.share for r in survivor.resolve(df, tolerance=1e-4).collect()}
+    tighter = {r.person_key: r.share for r in survivor.resolve(df, tolerance=1e-5).collect()}
+    assert all(abs(tight[p] - tighter[p]) < 0.01 for p in tight) and len(tight) == 20
