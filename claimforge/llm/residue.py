@@ -73,9 +73,10 @@ NUMBER = re.compile(r"\d[\d.,]*")
 
 
 def _ends_in_a_tail(text: str) -> bool:
-    """Whether TAIL may match: its last word closes a bracket, starts with a slash or holds a digit."""
-    last = text[text.rstrip().rfind(" ") + 1 :]
-    return last[-1:] in "])" or last[:1] == "/" or any(c.isdigit() for c in last) or "ncident" in text[-40:]
+    """Whether TAIL may match: each of its forms implies one of these."""
+    end = text.rstrip()
+    low = end.lower()
+    return end[-1:] in ("]", ")") or "/" in end[end.rfind(" ") + 1 :] or "ref" in low or "dent" in low
 
 
 def normal(line: str, filler: frozenset[str]) -> str:
@@ -90,10 +91,9 @@ def normal(line: str, filler: frozenset[str]) -> str:
         if not n:
             break
     low = text.lower()
-    if len(filler.intersection(low.split())) >= 2:
-        words = WORD.findall(low)
-        if len(words) >= 4 and sum(w in filler for w in words) >= 0.6 * len(words):
-            return FILL
+    words = WORD.findall(low)
+    if len(words) >= 4 and sum(w in filler for w in words) >= 0.6 * len(words):
+        return FILL
     return " ".join(NUMBER.sub("0", low).translate(SIGNS).split())
 
 

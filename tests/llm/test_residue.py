@@ -108,3 +108,9 @@ def test_links_are_those_of_the_jaccard_alone(spark):
     got = {(r.uid, number[r.f_unit]) for r in residue._near(nodes, nodes.withColumn("talk", F.lit(False)), residue.REACH, similar=True).collect()}
     far = [1 for a, b in want if bin((sims[a] ^ sims[b]) & (2**64 - 1)).count("1") > 3]
     assert got == want and len(far) > len(want) / 2
+
+
+def test_no_shortcut_changes_a_normal_form():
+    filler = frozenset(residue.LATIN)
+    assert {residue.normal(t, filler) for t in ("Lorem, ipsum, dolor, amet.", "lorem lorem lorem lorem")} == {residue.FILL}
+    assert residue.normal("The page is gone./index", filler) == "the page is gone" and residue.normal("Access denied ref deadbeef", filler) == "access denied"
