@@ -4,8 +4,8 @@ A page is a flat sequence of text blocks (the non-blank lines of its visible tex
 density, those of its neighbours and of its container, its tag and place, and how much its words speak for furniture
 (log odds over the labelled table). One CART tree, trained on a small labelled table, decides furniture or main body.
 
-The labelled table: the invented pages of ``blocks_seed`` and at most LABELLED_PAGES pages of the corpus whose markup
-names its regions (<main> against the rest), taken in the order of a hash of page_id. Each enters in several copies, with the region names,
+The labelled table: the invented pages of ``blocks_seed`` and at most LABELLED_PAGES pages of the corpus, of at most LABELLED_CHARS
+characters and PER_HOST of a host, whose markup names its regions (<main> against the rest), taken in the order of a hash of page_id. Each enters in several copies, with the region names,
 the containers or all markup hidden, so that the tree learns pages without them; words are scored out of fold.
 
 Results at the edges: null, '' and blank texts have no blocks; blank lines are never furniture; html null or out of step with the text
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as html_module
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ LABELLED_PAGES = 800
 DEPTH, LEAF = 14, 4
 #: Most pages of one host among them, so that a hot host does not fill the table.
 PER_HOST = 15
+#: Longest page, in characters of text and html together, that enters the labelled table: bounds what is sent to the driver.
+LABELLED_CHARS = 200_000
 #: Pages whose blocks are put through the tree together.
 CHUNK = 500
 
@@ -121,20 +124,38 @@ def markup_blocks(source: str) -> list[Block]:
 
 
 def align(lines: list[tuple[int, str]], blocks: list[Block]) -> list[Block | None]:
-    """The block of each line; None where the markup has no such text near the place."""
-    out: list[Block | None] = []
-    at = 0
-    for k, (_, line) in enumerate(lines):
-        found = None
-        for j in range(at, min(len(blocks), at + 12)):
-            if blocks[j].text == line or (k == len(lines) - 1 and len(line) > 3 and blocks[j].text.startswith(line)):
-                found = j
-                break
-        if found is None:
-            out.append(None)
-        else:
-            out.append(blocks[found])
-            at = found + 1
+    """The block of each line by a longest common subsequence of the whole page; None where the markup has no such text.
+
+    A last line that the text cuts short takes the first block after the others that begins with it.
+    """
+    texts = [x for _, x in lines]
+    head = 0
+    while head < min(len(texts), len(blocks)) and texts[head] == blocks[head].text:
+        head += 1
+    out: list[Block | None] = [*blocks[:head], *[None] * (len(texts) - head)]
+    after = head
+    if head < len(texts):
+        places: dict[str, list[int]] = {}
+        for j in range(len(blocks) - 1, head - 1, -1):
+            places.setdefault(blocks[j].text, []).append(j)
+        # tails[k]: the least block at which a common subsequence of k + 1 lines can end; links lead back along it.
+        tails: list[int] = []
+        ends: list[tuple] = []
+        for i in range(head, len(texts)):
+            for j in places.get(texts[i], ()):
+                k = bisect_left(tails, j)
+                link = (i, j, ends[k - 1] if k else None)
+                if k == len(tails):
+                    tails.append(j), ends.append(link)
+                else:
+                    tails[k], ends[k] = j, link
+        link = ends[-1] if ends else None
+        after = link[1] + 1 if link else head
+        while link:
+            out[link[0]] = blocks[link[1]]
+            link = link[2]
+        if out[-1] is None:
+            out[-1] = next((b for b in blocks[after:] if b.text.startswith(texts[-1])), None)
     return out
 
 
@@ -210,8 +231,10 @@ def features(pages: list[Page], scores: dict[str, float], hide: str = "", memory
             markup += [unknown] * len(lines)
             continue
         held: dict[int, int] = {}
+        here = 0
         for b in blocks:
             if b is not None:
+                here += 1
                 for c in b.chain:
                     held[c] = held.get(c, 0) + 1
         ids: dict[int, int] = {}
@@ -219,8 +242,11 @@ def features(pages: list[Page], scores: dict[str, float], hide: str = "", memory
             if b is None:
                 markup.append(unknown)
                 continue
-            # The container of a block is its innermost ancestor that holds more than this block.
+            # The container of a block is its innermost ancestor that holds more than this block; one that holds the whole page says nothing.
             home = next((c for c in reversed(b.chain) if held[c] >= 2), 0)
+            if held[home] == here:
+                markup.append((b.linked, TAGS.get(b.tag, 0), b.region, -1))
+                continue
             if home not in ids:
                 ids[home] = groups
                 groups += 1
@@ -406,9 +432,10 @@ def train(rows: list[tuple[str, str]]) -> Model:
     return Model(Tree().fit(np.vstack(x), np.array(y, float)), _odds([(p[0], p[2]) for p in pages]))
 
 
-def fit(pages: DataFrame, most: int = LABELLED_PAGES) -> Model:
-    """The model, trained on the driver from the bounded labelled table."""
-    named = pages.filter(F.contains("html", F.lit("<main")) & F.col("text").isNotNull() & F.col("final_url").isNotNull())
+def fit(pages: DataFrame, most: int = LABELLED_PAGES, chars: int = LABELLED_CHARS) -> Model:
+    """The model, trained on the driver from the bounded labelled table. Runs two jobs over the pages when called."""
+    pages = pages.filter(F.contains("html", F.lit("<main")) & (F.length("html") + F.length("text") <= chars))
+    named = pages.filter(F.col("final_url").isNotNull())
     per_host = W.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id")
     ranked = named.select("page_id", host_of(F.col("final_url")).alias("host")).withColumn("rank", F.row_number().over(per_host)).filter(F.col("rank") <= PER_HOST)
     chosen = [r.page_id for r in ranked.orderBy("rank", F.xxhash64("page_id"), "page_id").limit(most).collect()]

@@ -36,6 +36,39 @@ def test_held_out(model):
         assert right / sum(map(len, got)) > 0.95 and right / sum(len(f) for _, _, f in pages) > 0.95
 
 
+def flat(text):
+    """Markup without any container: one div a line."""
+    return "<html><body>" + "".join(f"<div>{x}</div>\n" for x in text.split("\n") if x) + "</body></html>"
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<div>{}</div>", "<table><tr><td>{}</td></tr></table>"])
+def test_one_container_for_the_whole_page_says_nothing(model, wrap):
+    rng = random.Random(4)
+    pages = [page(rng, f"Other {i}") for i in range(40)]
+    got = model.furniture([(t, wrap.format(flat(t))) for t, _, _ in pages])
+    right = sum(len(set(g) & set(f)) for g, (_, _, f) in zip(got, pages))
+    assert right / sum(map(len, got)) > 0.95 and right / sum(len(f) for _, _, f in pages) > 0.95
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    def block(x):
+        return mainbody.Block(x, 0.0, "p", -1, (0,))
+
+    extra = [block(f"only in the markup {i}") for i in range(40)]
+    got = mainbody.align([(0, "a"), (1, "x"), (2, "b"), (3, "c"), (4, "the end is cu")], [block("a"), *extra, block("b"), block("a"), block("c"), block("the end is cut off")])
+    assert [b and b.text for b in got] == ["a", None, "b", "c", "the end is cut off"]
+    assert mainbody.align([(0, "a")], []) == [None] and mainbody.align([], extra) == []
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = [rng.choice("abcd") for _ in range(rng.randint(0, 9))], [rng.choice("abcd") for _ in range(rng.randint(0, 9))]
+        got = [x.text for x in mainbody.align(list(enumerate(a)), [block(x) for x in b]) if x is not None]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert len(got) >= best[-1][-1]
+
+
 def test_edges(model):
     assert model.furniture([(None, None), ("", "<p>x"), (" \n \n", None), ("a" * 50_000, "<div")])[:3] == [[], [], []]
     assert model.furniture([]) == []
@@ -62,4 +95,5 @@ def test_rows(spark):
     assert mainbody.furniture_lines(df, model).columns == ["page_id", "line_no"]
     out = mainbody.main_texts(df, model).collect()
     assert len(out) == 33 and {r.main for r in out if r.page_id == 50} == {None}
+    assert mainbody.fit(df, chars=10).scores == mainbody.train([]).scores
     assert mainbody.furniture_lines(df.limit(0), mainbody.fit(df.limit(0))).count() == 0
