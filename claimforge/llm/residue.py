@@ -27,7 +27,6 @@ from operator import and_, or_
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimforge.llm import residue_seed
@@ -55,56 +54,64 @@ LATIN = set(
 ) - {"do", "et", "sit", "dolor", "magna", "esse", "dolore"} | {"sit", "dolor"}
 CORE = {"lorem", "ipsum", "dolor", "amet", "sit", "consectetur", "adipiscing", "elit", "eiusmod", "incididunt", "aliqua", "nostrud", "ullamco", "voluptate"}
 SLOTS = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|\[\[[^\[\]\n]{1,60}\]\]|\{%[^%\n]{1,60}%\}|%%[^%\s]{1,60}%%|@@[^@\s]{1,60}@@|[$#]\{[^{}\n]{1,60}\}|\{\$[^{}\n]{1,60}\}|<%=?[^%\n]{1,60}%>|(?<!\w)__[A-Za-z]\w*(?:\.\w+)*?__(?!\w)"
-    r"|(?<![\w$#{])\{[A-Za-z][A-Za-z0-9_.]*\}(?!\})|<[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+>|(?<![\w%])%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*%(?!\w)|<\?(?:php|=)[^?\n]{1,60}\?>"
-    r"|[\[<(](?:(?:enter|insert|add|your|type|company name|name|hier)\b[^\[\]<>()\n]{0,40}|[^\[\]<>()\n]{0,40}\b(?:eintragen|eingeben|einfügen|einsetzen|here|ici|aquí|à saisir|à compléter|a completar|вставить|ввести|を入力))[\]>)]",
+    r"\{\{[^{}\n]+\}\}|\[\[[^\[\]\n]+\]\]|\{%[^%\n]+%\}|%%[^%\s]+%%|@@[^@\s]+@@|[$#]\{[^{}\n]+\}|\{\$[^{}\n]+\}|<%=?[^%\n]+%>|(?<!\w)__[A-Za-z]\w*(?:\.\w+)*?__(?!\w)"
+    r"|(?<![\w$#{])\{[A-Za-z][A-Za-z0-9_.]*\}(?!\})|<[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+>|(?<![\w%])%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*%(?!\w)|<\?(?:php|=)[^?\n]+\?>"
+    r"|[\[<(](?:(?:enter|insert|add|your|type|company name|name|hier)\b[^\[\]<>()\n]*|[^\[\]<>()\n]*\b(?:eintragen|eingeben|einfügen|einsetzen|here|ici|aquí|à saisir|à compléter|a completar|вставить|ввести|を入力))[\]>)]",
     re.I,
 )
 SLOT_CASE = re.compile(r"^<[a-z]|^\{[a-z]+\}$|^%[a-z]")
 META = re.compile(r"\b(?:templates?|placeholders?|variables?|merge fields?|curly|braces|syntax|vorlagen?|platzhalter|gabarits?|modèles?|plantillas?|marcador|шаблон\w*|πρότυπ\w*)\b|テンプレート|プレースホルダ", re.I)
 LEAK = re.compile(r"\bundefined\b|\bnull\b|\bNaN\b|\bNone\b|\[object object\]", re.I)
-TAIL = re.compile(r"\s*(?:[\[(][^\[\]()]*[\d/#:.][^\[\]()]*[\])]|\bincident [0-9a-f]+\.?|\bref(?:erence)?\.? ?:?[0-9a-f]{4,}|(?<=[\s.])/[\w./-]+)\s*$", re.I)
+TAIL = re.compile(r"\s*(?:[\[(](?=[^\[\]()]*[\d/#:.])[^\[\]()]*[\])]|\bincident [0-9a-f]+\.?|\bref(?:erence)?\.? ?:?[0-9a-f]{4,}|(?<=[\s.])/[\w./-]+)\s*$", re.I)
 PARTS = re.compile(r"\s+[-–—|·»]\s+|(?<=\w):\s+")
 WORD = re.compile(r"[^\W\d_]+")
 
 
-SIGNS = str.maketrans(dict.fromkeys("\"'“”„«».!?…,;:。！？、()[]*", " "))
+SIGNS = dict.fromkeys(map(ord, "\"'“”„«».!?…,;:。！？、()[]*"), " ")
+ASCII_SIGNS = bytes(32 if c in SIGNS else c for c in range(256))
 NUMBER = re.compile(r"\d[\d.,]*")
 
 
-def _ends_in_a_tail(text: str) -> bool:
+def _ends_in_a_tail(text: str, low: str) -> bool:
     """Whether TAIL may match: each of its forms implies one of these."""
     end = text.rstrip()
-    low = end.lower()
     return end[-1:] in ("]", ")") or "/" in end[end.rfind(" ") + 1 :] or "ref" in low or "dent" in low
 
 
 def normal(line: str, filler: frozenset[str]) -> str:
     """The normal form of a line."""
-    text = LEAK.sub(VOID, line)
-    if any(c in text for c in "{[<%@_#$("):
+    text, low = line, line.lower()
+    # Each form of LEAK and of SLOTS implies one of these.
+    if "null" in low or "nan" in low or "none" in low or "undef" in low or "[ob" in low:
+        text = LEAK.sub(VOID, text)
+    if "{" in text or "[" in text or "<" in text or "%" in text or "@" in text or "_" in text or "#" in text or "$" in text or "(" in text:
         text = SLOTS.sub(lambda m: m[0] if SLOT_CASE.match(m[0]) else SLOT, text)
-    for _ in range(3):
-        if not _ends_in_a_tail(text):
-            break
+    while _ends_in_a_tail(text, low):
         text, n = TAIL.subn("", text)
         if not n:
             break
-    low = text.lower()
+    if text is not line:
+        low = text.lower()
     words = WORD.findall(low)
-    if len(words) >= 4 and sum(w in filler for w in words) >= 0.6 * len(words):
+    if len(words) >= 4 and sum(map(filler.__contains__, words)) >= 0.6 * len(words):
         return FILL
-    return " ".join(NUMBER.sub("0", low).translate(SIGNS).split())
+    low = NUMBER.sub("0", low)
+    if low.isascii():
+        return " ".join(low.encode().translate(ASCII_SIGNS).decode().split())
+    return " ".join(low.translate(SIGNS).split())
 
 
 def units(line: str, filler: frozenset[str]) -> set[str]:
-    """The units of a line: the whole, what stands before and after separators, and its placeholders."""
+    """The units of a line: the whole, what stands before, between and after separators, and its placeholders."""
     whole = normal(line, filler)
     out = {whole}
-    if m := PARTS.search(line):
-        out.add(normal(line[m.end() :], filler))
-        *_, last = PARTS.finditer(line)
-        out.add(normal(line[: last.start()], filler))
+    # Each separator holds one of these.
+    if ":" in line or "-" in line or "–" in line or "—" in line or "|" in line or "·" in line or "»" in line:
+        cuts = [m.span() for m in PARTS.finditer(line)]
+        if cuts:
+            begins, ends = [0, *(e for _, e in cuts)], [*(b for b, _ in cuts), len(line)]
+            spans = {*zip(begins, ends), (begins[1], len(line)), (0, ends[-2])}
+            out.update(normal(line[b:e], filler) for b, e in spans)
     if SLOT in whole:
         out.add(SLOT)
         if META.search(line):
@@ -183,20 +190,24 @@ def table_keys(sim: Column) -> Column:
 
 def filler_words(pages: DataFrame) -> frozenset[str]:
     """The words of dummy Latin in the corpus; at most (words of a line) / FILLER_SHARE of them."""
-    lines = pages.filter(F.col("text").isNotNull()).select(F.explode(F.split(F.lower("text"), "\n")).alias("line"))
+    low = pages.select(F.lower("text").alias("text"))
+    lines = lambda some: low.filter(some("text")).select(F.explode(F.split("text", "\n")).alias("line")).filter(some("line"))
     split = F.array_distinct(F.split("line", r"[^\p{L}]+"))
-    # Three core words can't all be among three that ordinary words contain, unless they are exactly these.
-    holds = lambda w: F.contains("line", F.lit(w))
+    # Three core words can't all be among three that ordinary words contain, unless they are exactly these. What a line holds, its page holds.
+    holds = lambda c, words: [F.contains(c, F.lit(w)) for w in sorted(words)]
     ordinary = {"sit", "elit", "dolor"}
-    likely = reduce(or_, map(holds, sorted(CORE - ordinary))) | reduce(and_, map(holds, sorted(ordinary)))
-    latin = lines.filter(likely).select(split.alias("words")).filter(F.size(F.array_intersect("words", F.array(*map(F.lit, sorted(CORE))))) >= 3)
-    counted = {r.w: r.n for r in latin.select(F.explode(F.array_append("words", "#")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.max(F.when(F.col("w") == "#", F.col("n"))).over(W.partitionBy())).filter(F.col("n") >= F.greatest(F.lit(3), F.lit(FILLER_SHARE) * F.col("all"))).collect()}
+    likely = lambda c: reduce(or_, holds(c, CORE - ordinary)) | reduce(and_, holds(c, ordinary))
+    latin = lines(likely).select(split.alias("words")).filter(F.size(F.array_intersect("words", F.array(*map(F.lit, sorted(CORE))))) >= 3)
+    # The row "#" counts the lines; at most (words of a line) / FILLER_SHARE words reach the share of it.
+    words = checkpointed(latin.select(F.explode(F.array_append("words", "#")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    every = words.filter("w = '#'").agg(F.max("n")).first()[0] or 0
+    counted = {r.w: r.n for r in words.filter(F.col("n") >= max(3, FILLER_SHARE * every)).collect()}
     new = sorted(w for w in counted if len(w) >= 2 and w not in LATIN)
     if not new:
         return frozenset(LATIN)
-    some = reduce(or_, map(holds, new)) if len(new) <= 100 else F.lit(True)
-    every = lines.filter(some).select(F.explode(F.array_intersect(split, F.array(*map(F.lit, new)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return frozenset(LATIN | {r.w for r in every.collect() if counted[r.w] >= 0.3 * r.n})
+    some = (lambda c: reduce(or_, holds(c, new))) if len(new) <= 100 else (lambda c: F.lit(True))
+    found = lines(some).select(F.explode(F.array_intersect(split, F.array(*map(F.lit, new)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return frozenset(LATIN | {r.w for r in found.collect() if counted[r.w] >= 0.3 * r.n})
 
 
 def page_units(pages: DataFrame, filler: frozenset[str]) -> DataFrame:
@@ -220,14 +231,6 @@ def page_units(pages: DataFrame, filler: frozenset[str]) -> DataFrame:
     return widened(pages.select(F.col("page_id").cast("bigint"), "text")).mapInArrow(run, "page_id bigint, line_no int, unit string").withColumn("uid", F.xxhash64("unit"))
 
 
-def _with_simhash(nodes: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(simhash(batch.column(1).to_pylist()))], names=["uid", "unit", "sim"])
-
-    return nodes.select("uid", "unit").mapInArrow(run, "uid bigint, unit string, sim bigint")
-
-
 def seeds(spark, filler: frozenset[str]) -> DataFrame:
     """(uid, unit, sim, talk) of the trusted lines."""
     rows = {}
@@ -273,23 +276,64 @@ def _near(nodes: DataFrame, frontier: DataFrame, radius: int = HAMMING, similar:
     return reduce(DataFrame.unionByName, pieces)
 
 
+#: Added to the size of long units' sets, so that short and long ones, whose shingles differ in kind, never meet.
+KIND = 1 << 40
+
+
+def _sized(units: list[str]) -> tuple[list[frozenset[str]], np.ndarray]:
+    """The shingle set of each unit, and its size, in order of kind."""
+    sets = [_grams(u) for u in units]
+    return sets, np.array([len(x) + KIND * (u.count(" ") >= LONG - 1) for x, u in zip(sets, units)], np.int64)
+
+
+def _may_fit(units: list[str], sizes: np.ndarray) -> list[int]:
+    """The units whose sets may have a size that allows SIMILARITY with one of the sorted sizes.
+
+    A text of n words has at most n - 4 five-word shingles, and at least four fewer than it has different words, as each word's first
+    place, but for the first four, ends a shingle not seen before.
+    """
+    cut = int(np.searchsorted(sizes, KIND, "left"))
+    short, long = sizes[:cut], sizes[cut:] - KIND
+    least_short = SIMILARITY * short[0] - 1 if len(short) else np.inf
+    least, most = (SIMILARITY * long[0] - 1, long[-1] / SIMILARITY + 1) if len(long) else (np.inf, 0)
+    kept = []
+    for k, u in enumerate(units):
+        words = u.split(" ")
+        if len(words) < LONG:
+            if max(1, len(u) - 1) >= least_short:
+                kept.append(k)
+        elif len(words) - 4 >= least and len(set(words)) - 4 <= most:
+            kept.append(k)
+    return kept
+
+
 def _near_piece(nodes: DataFrame, rows: list, radius: int, similar: bool) -> DataFrame:
-    held = [_grams(r.unit) if similar else frozenset() for r in rows]
-    order = sorted(range(len(rows)), key=lambda k: len(held[k]))
-    rows, held = [rows[k] for k in order], [held[k] for k in order]
+    held, sizes = _sized([r.unit for r in rows]) if similar else ([frozenset()] * len(rows), np.zeros(len(rows), np.int64))
+    order = np.argsort(sizes, kind="stable")
+    rows, held, sizes = [rows[k] for k in order], [held[k] for k in order], sizes[order]
     names, talks = pa.array([r.unit for r in rows], pa.string()), pa.array([r.talk for r in rows], pa.bool_())
-    known, held_sizes = np.array([r.sim for r in rows], np.int64), np.array([len(x) for x in held], np.int64)
+    every = frozenset().union(*held)
+    known = np.array([r.sim for r in rows], np.int64) if all(r.sim is not None for r in rows) else simhash([r.unit for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sims = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            own = [_grams(t) for t in batch.column(1).to_pylist()] if similar else []
-            lo, hi = np.zeros(len(sims), np.int64), np.full(len(sims), len(known), np.int64)
+            own = []
             if similar:
-                sizes = np.array([len(x) for x in own], np.int64)
+                # Only units of a fitting size with enough shingles of the frontier as a whole are hashed: the others can't reach SIMILARITY with any of its rows.
+                texts = batch.column(1).to_pylist()
+                kept = _may_fit(texts, sizes)
+                own, mine = _sized([texts[k] for k in kept])
+                enough = [k for k, x in enumerate(own) if len(x & every) >= SIMILARITY * len(x) - 1e-9]
+                batch = batch.take(pa.array([kept[k] for k in enough], pa.int64()))
+                texts, own, mine = batch.column(1).to_pylist(), [own[k] for k in enough], mine[enough]
                 # One shingle of slack, so that no rounding can drop a pair; the Jaccard decides.
-                lo = np.searchsorted(held_sizes, np.floor(SIMILARITY * sizes) - 1, "left")
-                hi = np.searchsorted(held_sizes, np.ceil(sizes / SIMILARITY) + 1, "right")
+                kind = mine // KIND * KIND
+                lo = np.searchsorted(sizes, kind + np.floor(SIMILARITY * (mine - kind)).astype(np.int64) - 1, "left")
+                hi = np.searchsorted(sizes, kind + np.ceil((mine - kind) / SIMILARITY).astype(np.int64) + 1, "right")
+                sims = simhash(texts)
+            else:
+                sims = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                lo, hi = np.zeros(len(sims), np.int64), np.full(len(sims), len(known), np.int64)
             ends, took, met, start = np.cumsum(hi - lo), [], [], 0
             while start < len(sims):
                 stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS_AT_ONCE, "right")))
@@ -298,8 +342,9 @@ def _near_piece(nodes: DataFrame, rows: list, radius: int, similar: bool) -> Dat
                 j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[start:stop], n)
                 close = np.bitwise_count((sims[i] ^ known[j]).view(np.uint64)) <= radius
                 for x, y in zip(i[close].tolist(), j[close].tolist()) if similar else ():
-                    shared = len(own[x] & held[y])
-                    if shared / (len(own[x]) + len(held[y]) - shared) >= SIMILARITY:
+                    a, b = own[x], held[y]
+                    shared = len(a & b)
+                    if shared / (len(a) + len(b) - shared) >= SIMILARITY:
                         took.append(x), met.append(y)
                 if not similar:
                     took += i[close].tolist()
@@ -312,7 +357,7 @@ def _near_piece(nodes: DataFrame, rows: list, radius: int, similar: bool) -> Dat
 
 
 def spread(nodes: DataFrame, trusted: DataFrame, radius: int = HAMMING) -> DataFrame:
-    """(uid, talk): the labels of all nodes in a component with a trusted line. nodes: (uid, unit, sim)."""
+    """(uid, talk): the labels of all nodes in a component with a trusted line. nodes: (uid, unit, sim); sim null: hashed where needed."""
     labelled = None
     frontier = trusted
     while True:
@@ -333,7 +378,7 @@ def residue_lines(pages: DataFrame) -> DataFrame:
     """(page_id, line_no) of the lines that are residue."""
     filler = filler_words(pages)
     placed = written(page_units(pages, filler))
-    nodes = checkpointed(_with_simhash(placed.groupBy("uid").agg(F.first("unit").alias("unit"))))
+    nodes = written(placed.groupBy("uid").agg(F.first("unit").alias("unit"), F.lit(None).cast("bigint").alias("sim")))
     labels = checkpointed(spread(nodes, seeds(pages.sparkSession, filler), REACH))
     marked = placed.select("page_id", "line_no", "uid").join(_small(labels), "uid")
     return marked.groupBy("page_id", "line_no").agg(F.max("talk").alias("talk")).filter(~F.col("talk")).select("page_id", "line_no")

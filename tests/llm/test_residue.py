@@ -110,6 +110,29 @@ def test_links_are_those_of_the_jaccard_alone(spark):
     assert got == want and len(far) > len(want) / 2
 
 
+def test_units_that_cannot_fit_are_the_only_ones_left_out():
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices("a bell rang over the long quay at nine and no one came".split(), k=rng.randint(1, 30))) for _ in range(400)]
+    frontier = texts[::40]
+    _, sizes = residue._sized(frontier)
+    kept = set(residue._may_fit(texts, np.sort(sizes)))
+    for k, t in enumerate(texts):
+        for f in frontier:
+            a, b = residue._grams(t), residue._grams(f)
+            if len(a & b) / len(a | b) >= residue.SIMILARITY:
+                assert k in kept
+    assert len(kept) < len(texts) and residue._may_fit(texts, np.zeros(0, np.int64)) == []
+
+
+def test_long_placeholders_and_tails():
+    filler = frozenset(residue.LATIN)
+    long = "x" * 500
+    assert residue.SLOT in residue.normal("Dear {{" + long + "}}, welcome", filler) and residue.SLOT in residue.normal("[Enter " + long + "]", filler) and residue.SLOT in residue.normal("(" + long + " here)", filler)
+    assert residue.normal("Page not found [a1] (b2) [c3] (d4) [e5]", filler) == "page not found" and residue.normal("Access denied (" + "7" * 200 + ")", filler) == "access denied"
+    assert "page not found" in residue.units("Firm | Page not found | Site", filler) and {"a", "b", "c", "d"} < residue.units("a - b - c - d", filler)
+    residue.normal("(" + "1" * 200_000, filler), residue.units("a: " * 300, filler)
+
+
 def test_no_shortcut_changes_a_normal_form():
     filler = frozenset(residue.LATIN)
     assert {residue.normal(t, filler) for t in ("Lorem, ipsum, dolor, amet.", "lorem lorem lorem lorem")} == {residue.FILL}
