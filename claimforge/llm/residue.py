@@ -20,9 +20,9 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -188,26 +188,41 @@ def table_keys(sim: Column) -> Column:
     return F.array(*keys)
 
 
+def _word_counts(pages: DataFrame, words: frozenset[str], least: int, all_words: bool) -> DataFrame:
+    """(w, n): on how many lines with at least so many of the words each of their words stands, or each of the given words only; '#' counts these lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                low = text.lower()
+                # What a line holds, its page holds.
+                here = [w for w in words if w in low]
+                if len(here) < least:
+                    continue
+                for line in low.split("\n"):
+                    if sum(w in line for w in here) >= least:
+                        own = set(WORD.findall(line))
+                        met = own & words
+                        if len(met) >= least:
+                            count.update(own if all_words else met)
+                            count["#"] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["w", "n"])
+
+    counts = widened(pages.filter(F.col("text").isNotNull()).select("text")).mapInArrow(run, "w string, n bigint")
+    return counts.groupBy("w").agg(F.sum("n").alias("n"))
+
+
 def filler_words(pages: DataFrame) -> frozenset[str]:
     """The words of dummy Latin in the corpus; at most (words of a line) / FILLER_SHARE of them."""
-    low = pages.select(F.lower("text").alias("text"))
-    lines = lambda some: low.filter(some("text")).select(F.explode(F.split("text", "\n")).alias("line")).filter(some("line"))
-    split = F.array_distinct(F.split("line", r"[^\p{L}]+"))
-    # Three core words can't all be among three that ordinary words contain, unless they are exactly these. What a line holds, its page holds.
-    holds = lambda c, words: [F.contains(c, F.lit(w)) for w in sorted(words)]
-    ordinary = {"sit", "elit", "dolor"}
-    likely = lambda c: reduce(or_, holds(c, CORE - ordinary)) | reduce(and_, holds(c, ordinary))
-    latin = lines(likely).select(split.alias("words")).filter(F.size(F.array_intersect("words", F.array(*map(F.lit, sorted(CORE))))) >= 3)
-    # The row "#" counts the lines; at most (words of a line) / FILLER_SHARE words reach the share of it.
-    words = checkpointed(latin.select(F.explode(F.array_append("words", "#")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    words = checkpointed(_word_counts(pages, frozenset(CORE), 3, True))
     every = words.filter("w = '#'").agg(F.max("n")).first()[0] or 0
     counted = {r.w: r.n for r in words.filter(F.col("n") >= max(3, FILLER_SHARE * every)).collect()}
-    new = sorted(w for w in counted if len(w) >= 2 and w not in LATIN)
+    new = frozenset(w for w in counted if len(w) >= 2 and w not in LATIN)
     if not new:
         return frozenset(LATIN)
-    some = (lambda c: reduce(or_, holds(c, new))) if len(new) <= 100 else (lambda c: F.lit(True))
-    found = lines(some).select(F.explode(F.array_intersect(split, F.array(*map(F.lit, new)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return frozenset(LATIN | {r.w for r in found.collect() if counted[r.w] >= 0.3 * r.n})
+    found = _word_counts(pages, new, 1, False).collect()
+    return frozenset(LATIN | {r.w for r in found if counted.get(r.w, 0) >= 0.3 * r.n and r.w != "#"})
 
 
 def page_units(pages: DataFrame, filler: frozenset[str]) -> DataFrame:
@@ -286,25 +301,23 @@ def _sized(units: list[str]) -> tuple[list[frozenset[str]], np.ndarray]:
     return sets, np.array([len(x) + KIND * (u.count(" ") >= LONG - 1) for x, u in zip(sets, units)], np.int64)
 
 
-def _may_fit(units: list[str], sizes: np.ndarray) -> list[int]:
-    """The units whose sets may have a size that allows SIMILARITY with one of the sorted sizes.
-
-    A text of n words has at most n - 4 five-word shingles, and at least four fewer than it has different words, as each word's first
-    place, but for the first four, ends a shingle not seen before.
-    """
-    cut = int(np.searchsorted(sizes, KIND, "left"))
-    short, long = sizes[:cut], sizes[cut:] - KIND
-    least_short = SIMILARITY * short[0] - 1 if len(short) else np.inf
-    least, most = (SIMILARITY * long[0] - 1, long[-1] / SIMILARITY + 1) if len(long) else (np.inf, 0)
-    kept = []
-    for k, u in enumerate(units):
-        words = u.split(" ")
-        if len(words) < LONG:
-            if max(1, len(u) - 1) >= least_short:
-                kept.append(k)
-        elif len(words) - 4 >= least and len(set(words)) - 4 <= most:
-            kept.append(k)
-    return kept
+def _may_reach(unit: str, every: frozenset[str]) -> bool:
+    """Whether the unit can have SIMILARITY with a set within every: of its shingles, at most the rest may be missing there."""
+    words = unit.split(" ")
+    n = len(words) - 4
+    if len(words) >= LONG:
+        shingles = (" ".join(words[i : i + 5]) for i in range(n))
+    else:
+        padded = f"^{unit}$"
+        n = max(1, len(padded) - 3)
+        shingles = (padded[i : i + 4] for i in range(n))
+    allowed, missing = (1 - SIMILARITY) * n + 1e-9, set()
+    for x in shingles:
+        if x not in every:
+            missing.add(x)
+            if len(missing) > allowed:
+                return False
+    return True
 
 
 def _near_piece(nodes: DataFrame, rows: list, radius: int, similar: bool) -> DataFrame:
@@ -319,13 +332,10 @@ def _near_piece(nodes: DataFrame, rows: list, radius: int, similar: bool) -> Dat
         for batch in batches:
             own = []
             if similar:
-                # Only units of a fitting size with enough shingles of the frontier as a whole are hashed: the others can't reach SIMILARITY with any of its rows.
+                # Only units with enough shingles of the frontier as a whole are hashed: the others can't reach SIMILARITY with any of its rows.
+                batch = batch.take(pa.array([k for k, u in enumerate(batch.column(1).to_pylist()) if _may_reach(u, every)], pa.int64()))
                 texts = batch.column(1).to_pylist()
-                kept = _may_fit(texts, sizes)
-                own, mine = _sized([texts[k] for k in kept])
-                enough = [k for k, x in enumerate(own) if len(x & every) >= SIMILARITY * len(x) - 1e-9]
-                batch = batch.take(pa.array([kept[k] for k in enough], pa.int64()))
-                texts, own, mine = batch.column(1).to_pylist(), [own[k] for k in enough], mine[enough]
+                own, mine = _sized(texts)
                 # One shingle of slack, so that no rounding can drop a pair; the Jaccard decides.
                 kind = mine // KIND * KIND
                 lo = np.searchsorted(sizes, kind + np.floor(SIMILARITY * (mine - kind)).astype(np.int64) - 1, "left")

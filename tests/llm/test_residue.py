@@ -110,18 +110,24 @@ def test_links_are_those_of_the_jaccard_alone(spark):
     assert got == want and len(far) > len(want) / 2
 
 
-def test_units_that_cannot_fit_are_the_only_ones_left_out():
+def test_only_units_that_cannot_reach_the_frontier_are_left_out():
     rng = random.Random(7)
     texts = [" ".join(rng.choices("a bell rang over the long quay at nine and no one came".split(), k=rng.randint(1, 30))) for _ in range(400)]
     frontier = texts[::40]
-    _, sizes = residue._sized(frontier)
-    kept = set(residue._may_fit(texts, np.sort(sizes)))
-    for k, t in enumerate(texts):
+    every = frozenset().union(*map(residue._grams, frontier))
+    for t in texts:
         for f in frontier:
             a, b = residue._grams(t), residue._grams(f)
             if len(a & b) / len(a | b) >= residue.SIMILARITY:
-                assert k in kept
-    assert len(kept) < len(texts) and residue._may_fit(texts, np.zeros(0, np.int64)) == []
+                assert residue._may_reach(t, every)
+    assert not all(residue._may_reach(t, every) for t in texts) and not residue._may_reach("bell", frozenset())
+
+
+def test_filler_words(spark):
+    made = ["Lorem kalmo ipsum vestri amet kalmo", "amet vestri ipsum kalmo lorem", "lorem ipsum amet kalmo unda"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*made, "the unda is a river", "unda again", "unda", "unda too", None, ""])], "page_id long, text string")
+    got = residue.filler_words(df)
+    assert "kalmo" in got and "unda" not in got and "#" not in got and residue.filler_words(df.limit(0)) == frozenset(residue.LATIN)
 
 
 def test_long_placeholders_and_tails():
