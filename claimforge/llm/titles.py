@@ -5,8 +5,8 @@ Every title gives one or more *forms* (lower case, accents folded, decoration su
 the forms of its known spellings. A form is the set of its padded letter pairs. Pairs are ordered by how rare they
 are over all forms; two sets with Jaccard of at least MIN_JACCARD must share one of the first
 |x| - ceil(t|x|) + 1 of them, so only these prefixes are joined, under the length and the positional
-filter; the Jaccard is then computed exactly. A candidate counts if its edit distance is one that
-typing errors explain (``_typing_error``), and each title keeps its best candidate: highest Jaccard, then the longer form,
+filter; the Jaccard is then computed exactly. Titles with a form that equals a known one (Jaccard 1) are settled by equality before. A candidate
+counts if its edit distance is one that typing errors explain (``_typing_error``), and each title keeps its best candidate: highest Jaccard, then the longer form,
 then the smaller role_id.
 
 All work is on distinct forms; rows are joined again only at the end, on a salted key, so that a title that a third
@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimforge.functions.text import let
 from claimforge.llm.common import checkpointed, written
 from claimforge.llm.titles_lexicon import spellings
 
@@ -84,7 +85,7 @@ def _prefixes(forms: DataFrame, ranks: DataFrame, t: float, name: str) -> DataFr
     return kept.select(F.col("form").alias(f"{name}_form"), f"{name}_size", f"{name}_at", "token.rank", "token.gram")
 
 
-#: Edits beyond which no slip of the keyboard explains a difference.
+#: What counts as a typing error is part of the match, beside the Jaccard: one to FARTHEST slips of the keyboard, by the length of the forms.
 FARTHEST = 4
 
 
@@ -117,7 +118,8 @@ def match_forms(forms: DataFrame, known: DataFrame, t: float = MIN_JACCARD) -> D
     )
     # Written, or the checks would be made before the pairs are made distinct. The cheaper of the two comes first; both must hold.
     near = written(near)
-    near = near.withColumn("distance", F.levenshtein("x_form", "y_form", FARTHEST)).filter(_typing_error(F.col("x_form"), F.col("y_form"), F.col("distance")))
+    slips = let(F.levenshtein("x_form", "y_form", FARTHEST), lambda d: F.when(_typing_error(F.col("x_form"), F.col("y_form"), d), d))
+    near = near.withColumn("distance", slips).filter(F.col("distance").isNotNull())
     gx, gy = grams(F.col("x_form")), grams(F.col("y_form"))
     shared = F.size(F.array_intersect(gx, gy))
     exact = near.withColumn("jaccard", shared / (F.size(gx) + F.size(gy) - shared)).filter(F.col("jaccard") >= t)
@@ -130,9 +132,13 @@ def match_titles(people: DataFrame, reference: DataFrame, key: str = "person_id"
     titles = rows.select("_title").distinct()
     # Computed once: the join reads each of them several times.
     spread = checkpointed(titles.select("_title", F.explode(variants(F.col("_title"))).alias("form")))
-    found = match_forms(spread, checkpointed(reference_forms(reference)))
+    known = checkpointed(reference_forms(reference))
+    # Equal sets first: nothing beats a Jaccard of 1 at distance 0, so titles with such a form need no other candidate.
+    equal = checkpointed(spread.join(known, "form").select("_title", "form", "role_id", F.lit(1.0).alias("jaccard"), F.lit(0).alias("distance")))
+    others = checkpointed(spread.join(equal.select("_title").distinct(), "_title", "left_anti"))
+    found = others.join(match_forms(others, known), "form").select("_title", "form", "role_id", "jaccard", "distance")
     best = (
-        spread.join(found, "form")
+        equal.unionByName(found)
         .groupBy("_title")
         .agg(F.max_by(F.struct("role_id", "jaccard"), F.struct("jaccard", -F.col("distance"), F.length("form"), -F.col("role_id"))).alias("best"))
         .select("_title", "best.role_id", F.col("best.jaccard").alias("score"))
