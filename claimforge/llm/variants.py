@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from claimforge.llm.common import checkpointed
 
 PIVOTS = 4
+#: Rows of a class that one task takes on each side when pairs of rows are asked for.
+PIECE = 2_000
 #: A word that stands with at least this many different brands says nothing of the brand. How many companies have it doesn't count: they may be one.
 COMMON_LEAST = 12
 
-# Forms of address, legal forms, second words of firms with their short forms, sectors, given names with short forms.
+# Forms of address, legal forms, second words of firms with their short forms, given names with short forms.
 ADDRESS = set("mr mrs ms miss mx dr prof professor sir dame herr frau hr fr mme mlle m. monsieur madame sr sra srta señor señora don doña dipl ing med phd mba jr sen".split())
 LEGAL = set(
     "inc incorporated corp corporation co company llc ltd limited plc llp lp gmbh mbh ag kg kgaa ug ohg se sa sas sarl sasu eurl sl slu srl spa ab oy as aps bv nv kk ood ad eood sro oü ou zrt kft "
@@ -46,7 +48,6 @@ SECOND = {
     "management": "mgt mgmt mgmnt manag", "services": "svcs svc serv service srvcs", "group": "grp", "holding": "holdings hldg", "industries": "ind inds industry", "partners": "partner ptnrs",
     "consulting": "consult consultants", "enterprises": "enterprise ent", "trading": "trdg", "engineering": "eng engrg", "development": "dev devt",
 }
-SECTORS = set("travel timber hotel clinic glass orchard energy marine freight catering rail robotics packaging payroll textile analytics harbour booking".split())
 NICKNAMES = {
     "susanne": "susi sanne suse", "edward": "ned ted ed eddie teddy eddy", "samuel": "sam sammy", "katherine": "kathy kate kit katie kat", "angela": "angie geli", "ulrike": "ulli rike uli",
     "francisco": "paco pancho curro fran", "nicholas": "nick nico nicky", "helena": "lena nell nelly", "friedrich": "fritz fred freddy", "jose": "pepe", "johannes": "hannes hans jo",
@@ -147,38 +148,73 @@ def _visits(s: str, r: int) -> set[str]:
 def radius_join(keys: DataFrame, r: int) -> DataFrame:
     """(block, a, b, d): all pairs of different keys of a block within Levenshtein distance r, each pair once.
 
-    keys: (block string, s string), taken as distinct. The pivots are the PIVOTS keys of smallest hash.
+    keys: (block string, s string), taken as distinct. The pivots are the PIVOTS keys of smallest hash. Jobs run when called.
     """
-    distinct = keys.filter("block IS NOT NULL AND s <> ''").select("block", "s").distinct()
+    distinct = checkpointed(keys.filter("block IS NOT NULL AND s <> ''").select("block", "s").distinct())
     pivots = [row.s for row in distinct.select("s").distinct().orderBy(F.xxhash64("s"), "s").limit(PIVOTS).collect()]
-    ringed = distinct.withColumn("far", F.array(*[F.levenshtein("s", F.lit(p)) for p in pivots]).cast("array<int>"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block, word, far, cell, home = [], [], [], [], []
-            for b, s, f in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                d = f[0] if f else 0
-                rings = range(max(0, d - r) // (r + 1), (d + r) // (r + 1) + 1)
-                cells = [(f"{x}.{d // (r + 1)}", True) for x in _home(s, r)] + [(f"{x}.{k}", False) for x in _visits(s, r) for k in rings]
-                for c, at_home in cells:
-                    block.append(b), word.append(s), far.append(f), cell.append(c), home.append(at_home)
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.string()), pa.array(word, pa.string()), pa.array(far, pa.list_(pa.int32())), pa.array(cell, pa.string()), pa.array(home, pa.bool_())], names=["block", "s", "far", "cell", "home"])
-
-    cells = ringed.select("block", "s", "far").mapInArrow(run, "block string, s string, far array<int>, cell string, home boolean").withColumn("cell", F.xxhash64("block", "cell"))
-    left = cells.filter("home").select("block", "cell", F.col("s").alias("a"), F.col("far").alias("fa"))
-    right = cells.filter("NOT home").select("block", "cell", F.col("s").alias("b"), F.col("far").alias("fb"))
+    # A key alone in its block has no partner.
+    several = distinct.join(distinct.groupBy("block").count().filter("count > 1").select("block"), "block", "left_semi")
+    ringed = several.withColumn("far", F.array(*[F.levenshtein("s", F.lit(p)) for p in pivots]).cast("array<int>")).select("block", "s", "far")
+    # By number, or adaptive execution would give the few bytes of the keys to one task.
+    spread = ringed.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "s")
+
+    def cells(home: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                take, cell = [], []
+                for k, (s, f) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                    d = f[0] if f else 0
+                    if home:
+                        mine = [f"{x}.{d // (r + 1)}" for x in _home(s, r)]
+                    else:
+                        rings = range(max(0, d - r) // (r + 1), (d + r) // (r + 1) + 1)
+                        mine = [f"{x}.{k}" for x in _visits(s, r) for k in rings]
+                    take += [k] * len(mine)
+                    cell += mine
+                rows = batch.take(pa.array(take, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell, pa.string())], names=["block", "s", "far", "cell"])
+
+        return spread.mapInArrow(run, "block string, s string, far array<int>, cell string").withColumn("cell", F.xxhash64("block", "cell"))
+
+    left = cells(True).select("block", "cell", F.col("s").alias("a"), F.col("far").alias("fa"))
+    right = cells(False).select("block", "cell", F.col("s").alias("b"), F.col("far").alias("fb"))
     once = (F.length("a") < F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
     pruned = F.forall(F.zip_with("fa", "fb", lambda x, y: F.abs(x - y)), lambda x: x <= r)
-    near = left.join(right, ["block", "cell"]).filter(once & pruned).withColumn("d", F.levenshtein("a", "b")).filter(F.col("d") <= r)
+    near = left.join(right, ["block", "cell"]).filter(once & pruned).withColumn("d", F.levenshtein("a", "b", r)).filter(F.col("d") >= 0)
     return near.select("block", "a", "b", "d").distinct()
 
 
+def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id_a, id_b): all pairs of rows of one class or of linked classes, id_a < id_b.
+
+    members: (id, class_id); links: (class_a, class_b). Only classes of more than PIECE rows are cut into pieces, every piece of one
+    meeting every piece of the other, so that no task has all the pairs of a class that a third of all rows are in.
+    """
+    sized = members.groupBy("class_id").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("n"))
+    placed = members.join(sized, "class_id").select("id", "class_id", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("at"))
+    side = lambda x: sized.select(F.col("class_id").alias(f"class_{x}"), F.col("n").alias(f"n_{x}"))
+    every = links.select("class_a", "class_b").unionByName(sized.select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"))).distinct()
+    upto = lambda x: F.explode(F.sequence(F.lit(0), F.col(f"n_{x}") - 1)).alias(f"at_{x}")
+    cut = every.join(side("a"), "class_a").join(side("b"), "class_b").select("class_a", "class_b", "n_b", upto("a")).select("class_a", "class_b", "at_a", upto("b"))
+    of = lambda x: placed.select(F.col("class_id").alias(f"class_{x}"), F.col("at").alias(f"at_{x}"), F.col("id").alias(f"i{x}"))
+    rows = cut.join(of("a"), ["class_a", "at_a"]).join(of("b"), ["class_b", "at_b"]).filter("ia <> ib")
+    return rows.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+
+
 def _swapped(a, b):
     return F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))
 
 
 def person_pairs(people: DataFrame) -> DataFrame:
     """(id_a, id_b): rows of people of one company that spell one person."""
+    return pairs(*person_classes(people))
+
+
+def person_classes(people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, class_id) and (class_a, class_b): rows of equal keys (company, surname, given name) are one class; the links are between classes.
+
+    A short form of several given names puts its row into the class of each.
+    """
     from claimforge.llm import lookalike
 
     source = people.filter(F.col("company_id").isNotNull() & F.col("name").isNotNull()).select("person_id", F.col("company_id").cast("string").alias("company"), "name")
@@ -217,12 +253,9 @@ def person_pairs(people: DataFrame) -> DataFrame:
     from_short = lettered.filter(F.length("first") == 1).select("block", "company", F.col("last").alias("a"), F.col("first").alias("first_a"))
     to_any = lettered.select("block", F.col("last").alias("b"), F.col("first").alias("first_b"))
     by_initial = from_short.join(reach, ["block", "a"]).join(to_any, ["block", "b"]).select("company", F.col("a").alias("last_a"), "first_a", F.col("b").alias("last_b"), "first_b")
-    equal = classes.select("company", F.col("last").alias("last_a"), F.col("first").alias("first_a"), F.col("last").alias("last_b"), F.col("first").alias("first_b"))
-    every = links.unionByName(by_initial).unionByName(equal).distinct()
-    a = named.select("company", F.col("last").alias("last_a"), F.col("first").alias("first_a"), F.col("id").alias("ia"))
-    b = named.select("company", F.col("last").alias("last_b"), F.col("first").alias("first_b"), F.col("id").alias("ib"))
-    rows = every.join(a, ["company", "last_a", "first_a"]).join(b, ["company", "last_b", "first_b"]).filter("ia <> ib")
-    return rows.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+    key = lambda *c: F.xxhash64("company", *c)
+    every = links.unionByName(by_initial).select(key("last_a", "first_a").alias("class_a"), key("last_b", "first_b").alias("class_b")).filter("class_a <> class_b").distinct()
+    return named.select("id", key("last", "first").alias("class_id")).distinct(), every
 
 
 def firm_words(name: str) -> list[str]:
@@ -234,10 +267,10 @@ def firm_words(name: str) -> list[str]:
     return re.findall(r"\w+", text)
 
 
-def firm_key(name: str | None, common: frozenset[str], short: dict[str, str], near_to) -> tuple[str, str, str] | None:
-    """(brand, sector words, second words) of a firm's name; None if it has no brand or is only an acronym."""
+def firm_keys(name: str | None, common: frozenset[str], short: dict[str, str], near_to) -> list[tuple[str, str, str]]:
+    """(brand, sector words, second words) of a firm's name, with the brand's words as they stand and sorted; none if it has no brand or is only an acronym."""
     if not name or re.fullmatch(r"\s*[A-Z]{2,5}\s*", name):
-        return None
+        return []
     brand, sector, second = [], set(), set()
     for w in firm_words(name):
         if w in LEGAL:
@@ -250,76 +283,100 @@ def firm_key(name: str | None, common: frozenset[str], short: dict[str, str], ne
             (second if near in short else sector).add(short.get(near, near))
         else:
             brand.append(w)
-    word = "".join(brand)
-    return (word, " ".join(sorted(sector)), " ".join(sorted(second))) if len(word) >= 3 else None
+    return [(word, " ".join(sorted(sector)), " ".join(sorted(second))) for word in {"".join(brand), "".join(sorted(brand))} if len(word) >= 3]
 
 
-def _whole_key(name: str | None) -> tuple[str, str, str] | None:
+def _whole_key(name: str | None) -> list[tuple[str, str, str]]:
     """The key of a name that has nothing but common words: all of them."""
     if not name or re.fullmatch(r"\s*[A-Z]{2,5}\s*", name):
-        return None
+        return []
     words = firm_words(name)
     word = "".join(w for w in words if w not in LEGAL) or "".join(words)
-    return (word, "", "") if len(word) >= 3 else None
+    return [(word, "", "")] if len(word) >= 3 else []
 
 
 def _common_words(spelled: DataFrame, short: dict[str, str]) -> frozenset[str]:
-    """The words that stand with at least COMMON_LEAST different remaining brands, a brand being what itself stands with fewer."""
-    known = SECTORS | short.keys()
+    """The words that stand with at least COMMON_LEAST different remaining brands, a brand being what itself stands with fewer.
+
+    Jobs run when called; the words of firms' names that stand with so many others go to the driver, which a vocabulary bounds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near_to = _near(sorted(known))
+        near_to = _near(sorted(short))
         for batch in batches:
             pairs = set()
             for name in batch.column(0).to_pylist():
-                core = [w for w in firm_words(name or "") if w not in LEGAL and w not in known and not (len(w) >= 4 and near_to(w))]
+                core = [w for w in firm_words(name or "") if w not in LEGAL and w not in short and not (len(w) >= 4 and near_to(w))]
                 for i, w in enumerate(core):
                     if len(w) >= 4 and (rest := "".join(core[:i] + core[i + 1 :])):
                         pairs.add((w, rest))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["w", "rest"])
 
     pairs = checkpointed(spelled.select("name").distinct().mapInArrow(run, "w string, rest string").distinct())
-    many = pairs.groupBy("w").count().filter(F.col("count") >= COMMON_LEAST)
-    brands = pairs.join(many.select(F.col("w").alias("rest")), "rest", "left_anti")
-    return frozenset(r.w for r in brands.groupBy("w").count().filter(F.col("count") >= COMMON_LEAST).select("w").collect())
+    many = [r.w for r in pairs.groupBy("w").count().filter(F.col("count") >= COMMON_LEAST).select("w").collect()]
+
+    def brands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What stands with many others, also if mistyped, is no brand.
+        known, near_to = frozenset(many), _near(sorted(many))
+        for batch in batches:
+            rest = batch.column(1).to_pylist()
+            yield batch.filter(pa.array([x not in known and not near_to(x) for x in rest], pa.bool_()))
+
+    left = pairs.mapInArrow(brands, "w string, rest string")
+    return frozenset(r.w for r in left.groupBy("w").count().filter(F.col("count") >= COMMON_LEAST).select("w").collect())
+
+
+def _one_slip(a: str, b: str) -> bool:
+    """Whether words differ in a letter more, less or other, or in two swapped ones."""
+    n, m = len(a), len(b)
+    i = 0
+    while i < min(n, m) and a[i] == b[i]:
+        i += 1
+    if n == m:
+        return a[i + 1 :] == b[i + 1 :] or (i + 1 < n and a[i] == b[i + 1] and a[i + 1] == b[i] and a[i + 2 :] == b[i + 2 :])
+    return (n == m + 1 and a[i + 1 :] == b[i:]) or (m == n + 1 and a[i:] == b[i + 1 :])
 
 
 def _near(known: list[str]):
-    """The finder of a known word of five letters or more that is one slip (a letter more, less or other, or two swapped) away."""
+    """The finder of the first known word of five letters or more that is one slip away (or equal).
+
+    Words one slip apart share a form with at most one letter left out; a swap of neighbours does too.
+    """
+    places: dict[str, list[int]] = {}
+    for k, word in enumerate(known):
+        if len(word) >= 5:
+            for x in {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}:
+                places.setdefault(x, []).append(k)
 
     @lru_cache(200_000)
     def find(word: str) -> str | None:
-        n = len(word)
-        for k in known:
-            m = len(k)
-            if m < 5 or abs(n - m) > 1:
-                continue
-            i = 0
-            while i < min(n, m) and word[i] == k[i]:
-                i += 1
-            if n == m and (word[i + 1 :] == k[i + 1 :] or (i + 1 < n and word[i] == k[i + 1] and word[i + 1] == k[i] and word[i + 2 :] == k[i + 2 :])):
-                return k
-            if (n == m + 1 and word[i + 1 :] == k[i:]) or (m == n + 1 and word[i:] == k[i + 1 :]):
-                return k
-        return None
+        met = {k for x in {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} for k in places.get(x, ())}
+        return next((known[k] for k in sorted(met) if _one_slip(word, known[k])), None)
 
     return find
 
 
 def company_pairs(companies: DataFrame) -> DataFrame:
     """(id_a, id_b): rows of companies that spell one organisation."""
+    return pairs(*company_classes(companies))
+
+
+def company_classes(companies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, class_id) and (class_a, class_b): names of one brand, common words and second words are one class; the links are between classes.
+
+    A row is in the class of each of its names. Brand words are taken as they stand and in alphabetical order.
+    """
     names = F.array_distinct(F.array_compact(F.concat(F.array("legal_name", "canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))))
     spelled = companies.select("company_id", F.explode(names).alias("name"))
     short = {s: k for k, v in SECOND.items() for s in [k, *v.split()]}
-    fixed = frozenset(SECTORS) - LEGAL - short.keys()
-    common = fixed | _common_words(spelled, short)
+    common = _common_words(spelled, short)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near_to, near_fixed = _near(sorted(common | short.keys())), _near(sorted(fixed | short.keys()))
-        # No name may lose its last word: first the words that only the table calls common count again, then all.
-        key = lambda n: firm_key(n, common, short, near_to) or firm_key(n, fixed, short, near_fixed) or _whole_key(n)
+        near_to, near_short = _near(sorted(common | short.keys())), _near(sorted(short))
+        # No name may lose its last word: first the common words count again, then all.
+        keys = lambda n: firm_keys(n, common, short, near_to) or firm_keys(n, frozenset(), short, near_short) or _whole_key(n)
         for batch in batches:
-            rows = [(i, *k) for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (k := key(n))]
+            rows = [(i, *k) for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k in keys(n)]
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=["id", "brand", "sector", "second"])
 
@@ -330,10 +387,10 @@ def company_pairs(companies: DataFrame) -> DataFrame:
     unsure = close.filter((F.col("d") == 2) & (n >= 8) & ~_swapped(F.col("a"), F.col("b"))).withColumn("check", F.lit(True))
     same = keyed.select(F.col("sector").alias("block"), F.col("brand").alias("a"), F.col("brand").alias("b")).distinct().withColumn("check", F.lit(False))
     links = sure.unionByName(unsure).select("block", "a", "b", "check").unionByName(same)
-    a = keyed.select(F.col("sector").alias("block"), F.col("brand").alias("a"), F.col("id").alias("ia"), F.col("second").alias("sa"))
-    b = keyed.select(F.col("sector").alias("block"), F.col("brand").alias("b"), F.col("id").alias("ib"), F.col("second").alias("sb"))
-    rows = links.join(a, ["block", "a"]).join(b, ["block", "b"]).filter("ia <> ib")
+    classes = keyed.select("sector", "brand", "second").distinct()
+    of = lambda x: classes.select(F.col("sector").alias("block"), F.col("brand").alias(x), F.col("second").alias(f"s{x}"), F.xxhash64("sector", "brand", "second").alias(f"class_{x}"))
+    rows = links.join(of("a"), ["block", "a"]).join(of("b"), ["block", "b"]).filter("class_a <> class_b")
     kept = rows.filter(~F.col("check") | ((F.col("sa") == F.col("sb")) & (F.col("sa") != "")))
     # A second word that both have must agree, unless one spelling leaves it out.
     kept = kept.filter((F.col("sa") == "") | (F.col("sb") == "") | (F.col("sa") == F.col("sb")))
-    return kept.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+    return keyed.select("id", F.xxhash64("sector", "brand", "second").alias("class_id")).distinct(), kept.select("class_a", "class_b").distinct()

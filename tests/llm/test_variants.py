@@ -68,3 +68,34 @@ def test_a_firm_under_many_domains_keeps_its_links(spark):
     df = spark.createDataFrame([(i, n, None, None) for i, n in rows], "company_id long, legal_name string, canonical_name string, aliases array<string>")
     got = {(r.id_a, r.id_b) for r in variants.company_pairs(df).collect()}
     assert got == {(a, b) for a in range(22) for b in range(a + 1, 22)} | {(100, 130), (131, 132), (140, 141)}
+
+
+def test_pairs_of_a_hot_class(spark, monkeypatch):
+    """Classes cut into pieces give the same pairs."""
+    members = spark.createDataFrame([(i, 1) for i in range(40)] + [(i, 2) for i in range(38, 45)] + [(99, 3)], "id long, class_id long")
+    links = spark.createDataFrame([(1, 2), (2, 1)], "class_a long, class_b long")
+    want = {(a, b) for a in range(45) for b in range(a + 1, 45)}
+    assert {tuple(r) for r in variants.pairs(members, links).collect()} == want
+    monkeypatch.setattr(variants, "PIECE", 7)
+    got = [tuple(r) for r in variants.pairs(members, links).collect()]
+    assert set(got) == want and len(got) == len(want) and variants.pairs(members.limit(0), links.limit(0)).count() == 0
+
+
+def test_common_words_come_from_the_table(spark):
+    """Words that stand with many brands are common, in a trade that no list names."""
+    brands = ["balvori", "cendulat", "dorvenik", "fasilmo", "gurentap", "hilvasto", "jokamend", "kestrupo", "lavondir", "mirtelka", "nostuvel", "pardimon", "quelvast", "rostibel"]
+    trades = ["Falconry", "Cheesemaking"]
+    names = [f"{b.title()} {t} Ltd" for b in brands for t in trades] + ["Balvori Flaconry", "Falconry Cendulat GmbH", "Dorvenki Falconry"]
+    df = spark.createDataFrame([(i, n, None, None) for i, n in enumerate(names)], "company_id long, legal_name string, canonical_name string, aliases array<string>")
+    got = {tuple(sorted((names[r.id_a], names[r.id_b]))) for r in variants.company_pairs(df).collect()}
+    assert got == {("Balvori Falconry Ltd", "Balvori Flaconry"), ("Cendulat Falconry Ltd", "Falconry Cendulat GmbH"), ("Dorvenik Falconry Ltd", "Dorvenki Falconry")}
+
+
+def test_finder_of_words_one_slip_away():
+    rng = random.Random(2)
+    known = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 7))) for _ in range(60)})
+    find = variants._near(known)
+    for _ in range(500):
+        w = "".join(rng.choice("abc") for _ in range(rng.randint(3, 8)))
+        want = [k for k in known if len(k) >= 5 and (distance(w, k) <= 1 or (len(w) == len(k) and any(w[:i] + w[i + 1] + w[i] + w[i + 2 :] == k for i in range(len(w) - 1))))]
+        assert find(w) == (want[0] if want else None)
