@@ -38,8 +38,8 @@ def _tidy(parts: list[str]) -> str:
     return " ".join(html_module.unescape("".join(parts)).split())
 
 
-def parse(source: str | None, url: str) -> dict:
-    """The parts of a page. Unclosed paragraphs, items and cells end where the next block begins."""
+def parse(source: str | None, url: str, anchor_length: int | None = 120, form_length: int | None = 600, after_heading: int = 3) -> dict:
+    """The parts of a page. Unclosed paragraphs, items and cells end where the next block begins. Lengths of None take anchors and form texts whole."""
     out: dict = {k: [] for k in ("links", "mailto", "tel", "contact_texts", "rows", "headings", "blocks", "forms")}
     title: list[str] = []
     head = {"og": "", "h1": ""}
@@ -91,7 +91,7 @@ def parse(source: str | None, url: str) -> dict:
         if name == "a":
             if link is not None:
                 href, anchor = link
-                out["links"].append((href, _tidy(anchor)[:120]))
+                out["links"].append((href, _tidy(anchor)[:anchor_length]))
                 link = None
             if not closing:
                 href = _attributes(rest).get("href", "").strip()
@@ -140,7 +140,7 @@ def parse(source: str | None, url: str) -> dict:
                 contact.append((str(len(flow)), len(open_tags)))
     flush()
     if link is not None:
-        out["links"].append((link[0], _tidy(link[1])[:120]))
+        out["links"].append((link[0], _tidy(link[1])[:anchor_length]))
     if row:
         out["rows"].append(row)
     if form is not None:
@@ -151,7 +151,7 @@ def parse(source: str | None, url: str) -> dict:
         if t == "h1" and not head["h1"]:
             head["h1"] = value
         if t in _HEADINGS:
-            out["headings"].append([value, *(v for _, v in blocks[i + 1 : i + 4])])
+            out["headings"].append([value, *(v for _, v in blocks[i + 1 : i + 1 + after_heading])])
     seen, links = set(), []
     for href, anchor in out["links"]:
         if urlparse(href).scheme in ("http", "https") and href not in seen:
@@ -161,11 +161,11 @@ def parse(source: str | None, url: str) -> dict:
     out["blocks"] = [v for _, v in blocks]
     out["title"] = _tidy(title) or head["og"] or head["h1"]
     out["text"] = "\n".join(out["blocks"])
-    out["forms"] = [{"action": f["action"], "about": " ".join([*f["about"], " ".join(f["text"])[:600]]).lower(), "controls": " ".join(f["controls"]).lower()} for f in out["forms"]]
+    out["forms"] = [{"action": f["action"], "about": " ".join([*f["about"], " ".join(f["text"])[:form_length]]).lower(), "controls": " ".join(f["controls"]).lower()} for f in out["forms"]]
     return out
 
 
-def parse_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def parse_pages(pages: DataFrame, key: str = "page_id", anchor_length: int | None = 120, form_length: int | None = 600, after_heading: int = 3) -> DataFrame:
     """(key, url, and the parts of the page); pages without html give empty parts."""
     source = widened(pages.select(key, F.coalesce("final_url", "url", F.lit("")).alias("url"), "html"))
     kind = source.schema[key].dataType.simpleString()
@@ -175,7 +175,7 @@ def parse_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [parse(h, u or "") for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            parsed = [parse(h, u or "", anchor_length, form_length, after_heading) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([p[n] for p in parsed], t) for n, t in zip(names, types))], names=["key", "url", *names])
 
     return source.mapInArrow(run, f"key {kind}, url string, {SCHEMA}").withColumnRenamed("key", key)

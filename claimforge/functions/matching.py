@@ -35,12 +35,12 @@ def same_company(current, full_name, words):
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 
 
-def salvage(text: str | None) -> str | None:
+def salvage(text: str | None, most_characters: int | None = 100_000, most_starts: int | None = 200) -> str | None:
     """The first JSON object or list in a reply: fenced, else the first balanced one; lists become {"items": ...}."""
-    body = (text or "")[:100_000]
+    body = (text or "")[:most_characters]
     tries = [m.strip() for m in _FENCE.findall(body)] + [body.strip()]
     decoder = json.JSONDecoder()
-    starts = [m.start() for m in re.finditer(r"[{\[]", body)][:200]
+    starts = [m.start() for m in re.finditer(r"[{\[]", body)][:most_starts]
     for piece in tries:
         try:
             found = json.loads(piece)
@@ -57,6 +57,11 @@ def salvage(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf(StringType())
-def salvage_json(texts: pd.Series) -> pd.Series:
-    return texts.map(salvage)
+def salvage_json(texts, most_characters: int | None = 100_000, most_starts: int | None = 200):
+    """salvage as a column; limits of None take replies of any length."""
+
+    @F.pandas_udf(StringType())
+    def run(replies: pd.Series) -> pd.Series:
+        return replies.map(lambda t: salvage(t, most_characters, most_starts))
+
+    return run(texts)

@@ -148,6 +148,45 @@ def socials(url: Column) -> Column:
     return let(host(url), ladder)
 
 
+def off_site(url: Column, domain: Column) -> Column:
+    """Whether a URL lies outside the company's own host and the social networks that aren't fetched."""
+    own = F.regexp_replace(F.lower(blank(domain)), r"^www\.", "")
+    return let(host(url), lambda h: (h != "") & (h != own) & ~reduce(or_, [F.endswith(h, F.lit(e)) for e in L.UNFETCHED_ENDINGS]))
+
+
+def bot_wall(text: Column, head: int | None = 4000, least: int = 80) -> Column:
+    """Whether a rendered page is a wall against robots: a marker near its beginning, or hardly any text."""
+    t = F.trim(blank(text))
+    begin = t if head is None else F.substring(t, 1, head)
+    return has_any(F.lower(begin), L.BOT_WALL) | (F.length(t) < least)
+
+
+def clip(c: Column, limit: int) -> Column:
+    """The text, or its beginning and end around a mark where it is longer than the limit."""
+    return let(F.regexp_replace(blank(c), r"(?U)^\s+|\s+$", ""), lambda t: F.when(F.length(t) <= limit, t).otherwise(F.concat(F.substring(t, 1, limit // 2), F.lit("\n...[truncated]...\n"), F.right(t, F.lit(limit // 2)))))
+
+
+def clamped(c: Column) -> Column:
+    """A confidence between 0 and 1; null is 0."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(c.cast("double"), F.lit(0.0))))
+
+
+def identity_names(canonical: Column, legal: Column, domain: Column, aliases: Column, terms: Column) -> Column:
+    """(brand, names): the distinctive words of name, domain and aliases, never of the legal name; and every different spelling."""
+    none = F.array().cast("array<string>")
+    nick = F.coalesce(aliases, none)
+    names = F.array_distinct(F.filter(F.concat(F.array(canonical, legal, domain), nick, F.coalesce(terms, none)), lambda n: blank(n) != ""))
+    brand = F.filter(F.concat(F.array(canonical, domain), nick), lambda n: blank(n) != "")
+    return F.struct(F.array_sort(target_words(brand)).alias("brand"), names.alias("names"))
+
+
+def target_words(terms: Column) -> Column:
+    """The words of at least three characters in terms of at least three, without endings of company names."""
+    endings = strings(sorted(L.SUFFIX_TOKENS))
+    words = F.flatten(F.transform(terms, lambda t: F.split(F.lower(t), r"[^\p{L}\p{N}_]+")))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(endings, w)))
+
+
 # ---- companies --------------------------------------------------------------------------------------
 
 
@@ -164,10 +203,15 @@ def distinctive_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(blank(c)), r"[^\p{L}\p{N}_]+"), lambda t: (F.length(t) >= 3) & ~F.array_contains(noise, t)))
 
 
-def query_terms(*values: Column) -> Column:
-    """The first ten different words of more than two characters; values: strings or arrays of them."""
+def first(c: Column, most: int | None) -> Column:
+    """The first entries of a list; all of them if most is None."""
+    return c if most is None else F.slice(c, 1, most)
+
+
+def query_terms(*values: Column, most: int | None = 10) -> Column:
+    """The first different words of more than two characters; values: strings or arrays of them."""
     words = F.flatten(F.transform(F.array(*[blank(v) for v in values]), lambda v: F.split(F.trim(F.regexp_replace(F.lower(v), r"(?U)[^\p{L}\p{N}_\s.\-]", " ")), r"(?U)\s+")))
-    return F.slice(F.array_distinct(F.filter(words, lambda t: F.length(t) > 2)), 1, 10)
+    return first(F.array_distinct(F.filter(words, lambda t: F.length(t) > 2)), most)
 
 
 def size_hint(c: Column) -> Column:
@@ -189,12 +233,24 @@ def _size_of(low: Column) -> Column:
 
 
 def legal_names(c: Column) -> Column:
-    """Japanese, Chinese, then Latin legal names, first seen first; Latin ones of two words or more and 2 to 70 characters."""
+    """Japanese, Chinese, then Latin legal names, first seen first; Latin ones of two words or more and 2 to 70 characters.
+
+    Latin ones of generic words alone are left out, and each name begins after its last generic word, unless nothing would be left.
+    """
     text = blank(c)
+    generic = strings(L.GENERIC_LOCALS)
+    edge = lambda x: F.regexp_replace(x, r"^[ ,.;]+|[ ,.;]+$", "")
     east = F.concat(F.regexp_extract_all(text, F.lit(f"({L.JP_LEGAL})"), 1), F.regexp_extract_all(text, F.lit(f"({L.CN_LEGAL})"), 1))
-    latin = F.transform(F.regexp_extract_all(text, F.lit(f"({L.LATIN_LEGAL})"), 1), lambda x: F.regexp_replace(squeeze(x), r"^[ ,.;]+|[ ,.;]+$", ""))
-    kept = F.filter(latin, lambda x: F.length(x).between(2, 70) & (F.size(F.split(x, " ")) >= 2))
-    return F.array_distinct(F.concat(east, kept))
+    latin = F.transform(F.regexp_extract_all(text, F.lit(f"({L.LATIN_LEGAL})"), 1), lambda x: edge(squeeze(x)))
+    words = lambda x: F.split(x, " ")
+    kept = F.filter(latin, lambda x: F.length(x).between(2, 70) & (F.size(words(x)) >= 2) & ~F.forall(words(x), lambda w: F.array_contains(generic, F.lower(w))))
+
+    def tight(x: Column) -> Column:
+        bare = F.transform(words(x), lambda w: F.regexp_replace(F.lower(w), r"^[.,]+|[.,]+$", ""))
+        last = F.array_max(F.transform(bare, lambda w, i: F.when(F.array_contains(generic, w), i + 1).otherwise(0)))
+        return edge(F.array_join(F.slice(words(x), last + 1, F.size(words(x))), " "))
+
+    return F.array_distinct(F.filter(F.transform(F.array_distinct(F.concat(east, kept)), tight), lambda x: x != ""))
 
 
 def copyright_entity(c: Column) -> Column:
@@ -202,15 +258,15 @@ def copyright_entity(c: Column) -> Column:
     return F.when((F.size(F.split(name, " ")) > 6) | (F.length(name) > 60), "").otherwise(name)
 
 
-def registry_codes(c: Column) -> Column:
-    """Array of (kind, value): the first eight different codes, by kind and place."""
+def registry_codes(c: Column, most: int | None = 8) -> Column:
+    """Array of (kind, value): the first different codes, by kind and place."""
     text = blank(c)
 
     def of(kind: str, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda v: F.struct(F.lit(kind).alias("kind"), F.trim(v).alias("value")))
 
     every = [of(kind, pattern) for kind, pattern in L.REGISTRY_CODES]
-    return F.slice(F.array_distinct(F.concat(*every)), 1, 8)
+    return first(F.array_distinct(F.concat(*every)), most)
 
 
 def wechat(c: Column) -> Column:
@@ -284,6 +340,18 @@ def person_key(name: Column) -> Column:
     return F.when(F.size(t) == 0, "").when(F.size(t) == 1, F.get(t, 0)).otherwise(F.concat(F.get(t, F.size(t) - 1), F.lit("|"), F.substring(F.get(t, 0), 1, 1)))
 
 
+def names_conflict(a: Column, b: Column) -> Column:
+    """Whether two names are surely two persons: other keys and no word in common; unreadable ones never conflict."""
+    stop = strings(L.NAME_STOPWORDS)
+    words = lambda n: F.filter(person_tokens(n), lambda t: ~F.array_contains(stop, t))
+    keys = F.struct(person_key(a).alias("a"), person_key(b).alias("b"), words(a).alias("x"), words(b).alias("y"))
+    return let(keys, lambda k: (k["a"] != "") & (k["b"] != "") & (k["a"] != k["b"]) & (F.size(k["x"]) > 0) & (F.size(k["y"]) > 0) & ~F.arrays_overlap(k["x"], k["y"]))
+
+
+def display(name: Column, title: Column) -> Column:
+    return F.when(blank(title) != "", F.concat(name, F.lit(" - "), title)).otherwise(name)
+
+
 def recency(newest_year: Column, as_of_year: int) -> Column:
     """Points of the newest year found in a person's evidence; 4 where none is dated."""
     age = F.greatest(F.lit(0), F.lit(as_of_year) - newest_year)
@@ -361,8 +429,8 @@ def email_kind(email: Column, names: Column) -> Column:
     )
 
 
-def phones(c: Column) -> Column:
-    """The first eight different numbers: those on lines with a label first, then by place."""
+def phones(c: Column, most: int | None = 8) -> Column:
+    """The first different numbers: those on lines with a label first, then by place."""
 
     digits = lambda x: F.regexp_replace(x, r"[^0-9]", "")
 
@@ -377,7 +445,7 @@ def phones(c: Column) -> Column:
     every = F.array_sort(F.flatten(F.transform(F.filter(F.split(blank(c), r"\r\n|[\n\r]"), lambda line: line.rlike(r"[0-9]")), of_line)))
     shown = F.transform(every, lambda x: F.regexp_replace(squeeze(x["raw"]), r"^[ .-]+|[ .-]+$", ""))
     once = lambda s: let(F.transform(s, digits), lambda d: F.filter(s, lambda x, i: F.array_position(d, digits(x)) == i + 1))
-    return F.slice(let(shown, once), 1, 8)
+    return first(let(shown, once), most)
 
 
 def quote_around(text: Column, needle: Column, width: int = 220) -> Column:
@@ -387,16 +455,16 @@ def quote_around(text: Column, needle: Column, width: int = 220) -> Column:
     return F.when((blank(needle) == "") | (place == 0), "").otherwise(squeeze(cut))
 
 
-def addresses(c: Column) -> Column:
-    """Up to five addresses: the first of each hinted line of at most 200 characters; without any, the first three of the first form that the whole text has."""
+def addresses(c: Column, most: int | None = 5, line_length: int | None = 200, whole: int | None = 3) -> Column:
+    """The first addresses: the first of each hinted line of at most line_length characters; without any, the first of the first form that the whole text has."""
     text = blank(c)
     edge = lambda x: F.regexp_replace(x, r"^[ ,;]+|[ ,;]+$", "")
     forms = [F.lit(f"({p})") for p in (L.LATIN_ADDRESS, L.JP_ADDRESS, L.CJK_ADDRESS)]
-    hinted = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), F.trim), lambda x: (x != "") & (F.length(x) <= 200) & has_any(F.lower(x), L.ADDRESS_HINTS))
+    hinted = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), F.trim), lambda x: (x != "") & (F.lit(True) if line_length is None else F.length(x) <= line_length) & has_any(F.lower(x), L.ADDRESS_HINTS))
     of_lines = F.array_distinct(F.array_compact(F.transform(hinted, lambda x: F.coalesce(*[F.get(F.regexp_extract_all(x, f, 1), 0) for f in forms]))))
-    whole = [F.regexp_extract_all(text, forms[i], 1) for i in (1, 2, 0)]
-    fallback = F.coalesce(*[F.when(F.size(w) > 0, F.slice(F.array_distinct(F.transform(w, edge)), 1, 3)) for w in whole], F.array().cast("array<string>"))
-    return F.slice(let(F.transform(of_lines, edge), lambda x: F.when(F.size(x) > 0, x).otherwise(fallback)), 1, 5)
+    of_text = [F.regexp_extract_all(text, forms[i], 1) for i in (1, 2, 0)]
+    fallback = F.coalesce(*[F.when(F.size(w) > 0, first(F.array_distinct(F.transform(w, edge)), whole)) for w in of_text], F.array().cast("array<string>"))
+    return first(let(F.transform(of_lines, edge), lambda x: F.when(F.size(x) > 0, x).otherwise(fallback)), most)
 
 
 def other_company(text: Column, terms: Column) -> Column:
@@ -407,7 +475,7 @@ def other_company(text: Column, terms: Column) -> Column:
     """
     ordinary = strings(sorted({*L.NOT_PERSON_TOKENS, *L.SUFFIX_TOKENS, *L.STACK_TOKENS, *L.ROLE_TOKENS, *L.PRODUCT_TOKENS, *L.DEPARTMENTS}))
     endings = strings(sorted(L.SUFFIX_TOKENS))
-    expected = F.array_distinct(F.filter(F.flatten(F.transform(terms, lambda t: F.split(F.lower(t), r"[^\p{L}\p{N}_]+"))), lambda t: (F.length(t) >= 3) & ~F.array_contains(endings, t)))
+    expected = target_words(terms)
 
     def foreign(org: Column, known: Column) -> Column:
         pieces = F.filter(F.transform(F.split(F.replace(org, F.lit("-"), F.lit(" ")), r"\s+"), lambda t: F.regexp_replace(t, "^[.'’\"]+|[.'’\"]+$", "")), lambda t: t != "")

@@ -144,3 +144,10 @@ CJK_ADDRESS = r"[一-鿿]{2,10}(?:市|区|町|村)[一-鿿0-9\-]{2,20}(?:[0-9]+[
 # Titles that tie a person to an organisation, and words of departments.
 ATTRIBUTION = r"(?iU)\b(?:co-?founder|founder|ceo|owner|director|managing director|president|head|partner|chief executive officer|vice president|general manager)\b[^.!?;]*?\b(?:of|at)\b\s+([\w’'&][\w’'&.\-]*(?:[\s-][\w’'&][\w’'&.\-]*){1,3})"
 DEPARTMENTS = ["marketing", "sales", "operations", "engineering", "product", "products", "finance", "financial", "human", "resources", "technology", "information", "legal", "strategy", "strategies", "design", "designs", "growth", "revenue", "development", "business", "customer", "customers", "account", "accounts", "partnership", "partnerships", "people", "support", "security", "data", "delivery", "procurement", "quality", "research", "communications", "public", "relations", "brand", "content", "creative", "it", "services", "service", "solutions", "analytics", "acquisition", "insights", "supply", "chain", "logistics", "compliance", "risk"]
+# Endings of hosts that aren't fetched off the company's site, signs of a wall against robots, words that part no names.
+UNFETCHED_ENDINGS = ["facebook.com", "instagram.com", "pinterest.com", "x.com", "twitter.com"]
+BOT_WALL = ["enable javascript", "please enable javascript", "just a moment", "checking your browser", "cf-browser-verification", "access denied", "are you a robot", "請稍候", "checking your browser before accessing"]
+NAME_STOPWORDS = ["the", "and", "of", "for", "ltd", "llc", "inc", "gmbh", "co"]
+# Categories of failed results, and the category that a status stands for.
+FAILURE_CATEGORIES = ["entity failure", "person failure", "contact failure", "wrong/invalid domain", "insufficient evidence", "technical failure"]
+STATUS_CATEGORY = {"FAILED_DOMAIN": "wrong/invalid domain", "FAILED_ENTITY_RESOLUTION": "entity failure", "FAILED_PERSON_DISCOVERY": "person failure", "FAILED_CONTACT_DISCOVERY": "contact failure", "ERROR": "technical failure"}

@@ -22,7 +22,7 @@ def text_emails(texts: DataFrame, key: str = "doc_id", junk: list[str] = L.EMAIL
     return texts.select(key, "company_id", F.posexplode(T.emails(F.col("text"), junk)).alias("seq", "email"))
 
 
-def candidates(texts: DataFrame, companies: DataFrame, names: DataFrame | None = None, key: str = "doc_id", junk: list[str] = L.EMAIL_JUNK) -> DataFrame:
+def candidates(texts: DataFrame, companies: DataFrame, names: DataFrame | None = None, key: str = "doc_id", junk: list[str] = L.EMAIL_JUNK, most_phones: int | None = None) -> DataFrame:
     """One row per company and channel (kind, value in lower case): its best-placed sighting.
 
     names: (company_id, names) with at most a few names each (the ranked people). Mailboxes for roles count only on the company's own
@@ -38,7 +38,7 @@ def candidates(texts: DataFrame, companies: DataFrame, names: DataFrame | None =
     c = F.col("k.confidence")
     confidence = F.when(F.col("k.kind") == "direct", F.when(official, F.least(F.lit(0.95), c + 0.2)).otherwise(F.least(c, F.lit(0.5)))).otherwise(F.least(F.lit(0.95), c + 0.2))
     mails = mail.filter((F.col("k.kind") != "") & (official | (F.col("k.kind") == "direct"))).select("company_id", F.concat("k.kind", F.lit("_email")).alias("kind"), F.col("email").alias("value"), key, "seq", F.round(confidence, 2).alias("confidence"))
-    calls = texts.join(companies.select("company_id"), "company_id", "left_semi").select("company_id", F.lit("phone").alias("kind"), key, F.posexplode(T.phones(F.col("text"))).alias("seq", "value")).withColumn("confidence", F.lit(0.5))
+    calls = texts.join(companies.select("company_id"), "company_id", "left_semi").select("company_id", F.lit("phone").alias("kind"), key, F.posexplode(T.phones(F.col("text"), most_phones)).alias("seq", "value")).withColumn("confidence", F.lit(0.5))
     chats = texts.join(companies.select("company_id"), "company_id", "left_semi").select("company_id", F.lit("other").alias("kind"), key, F.lit(0).alias("seq"), T.wechat(F.col("text")).alias("id")).filter("id <> ''").select("company_id", "kind", key, "seq", F.concat(F.lit("WeChat: "), "id").alias("value"), F.lit(0.6).alias("confidence"))
     every = mails.unionByName(calls.select(*mails.columns)).unionByName(chats.select(*mails.columns))
     first = F.min_by(F.struct("value", "confidence", key, "seq"), F.struct(key, "seq"))

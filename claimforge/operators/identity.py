@@ -32,11 +32,11 @@ def resolve(texts: DataFrame, companies: DataFrame, key: str = "doc_id") -> Data
     )
 
 
-def related(companies: DataFrame) -> DataFrame:
-    """(company_id, relation, name): the legal entity behind a brand, its parent, and up to four aliases."""
+def related(companies: DataFrame, most_aliases: int | None = 4) -> DataFrame:
+    """(company_id, relation, name): the legal entity behind a brand, its parent, and the first aliases."""
     canonical = F.lower(T.clean_name(F.col("company_name")))
     one = lambda test, relation, name: F.when(test, F.struct(F.lit(relation).alias("relation"), name.alias("name")))
     legal, parent = F.col("legal_name"), F.col("parent_company")
-    aliases = F.transform(F.slice(F.coalesce("aliases", F.array().cast("array<string>")), 1, 4), lambda a: one(T.blank(a) != "", "alias_of", a))
+    aliases = F.transform(T.first(F.coalesce("aliases", F.array().cast("array<string>")), most_aliases), lambda a: one(T.blank(a) != "", "alias_of", a))
     rows = F.array_compact(F.concat(F.array(one((T.blank(legal) != "") & (F.lower(legal) != canonical), "legal_entity_of", legal), one(T.blank(parent) != "", "parent_of", parent)), aliases))
     return companies.select("company_id", F.explode(rows).alias("r")).select("company_id", "r.relation", "r.name").distinct()

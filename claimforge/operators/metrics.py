@@ -14,8 +14,10 @@ def histogram(df: DataFrame, column: str, classes: list[str]) -> DataFrame:
     """(column, rows, share): a row for every class, empty ones too; values outside the classes count in the whole only."""
     counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
     every = df.sparkSession.createDataFrame([(c,) for c in classes], f"{column} string")
-    whole = df.count()
-    return every.join(counted, column, "left").select(column, F.coalesce("rows", F.lit(0)).alias("rows"), percent(F.coalesce("rows", F.lit(0)), F.lit(whole)).alias("share"))
+    # The whole comes from the grouped counts: one row, nothing is counted while the plan is built.
+    whole = counted.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("_whole"))
+    joined = every.join(counted, column, "left").join(F.broadcast(whole))
+    return joined.select(column, F.coalesce("rows", F.lit(0)).alias("rows"), percent(F.coalesce("rows", F.lit(0)), F.col("_whole")).alias("share"))
 
 
 def mean(column: Column) -> Column:

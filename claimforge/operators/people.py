@@ -48,12 +48,12 @@ def merge_people(people: DataFrame) -> DataFrame:
     )
 
 
-def company_words(companies: DataFrame) -> DataFrame:
-    """(company_id, terms, domains): the words a company is known by, and its domains."""
-    terms = T.query_terms(F.col("canonical_name"), F.col("legal_name"), F.col("company_name"), F.col("domain"))
-    alias = F.flatten(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: T.query_terms(a)))
+def company_words(companies: DataFrame, most: int | None = 10) -> DataFrame:
+    """(company_id, terms, domains): the first words a company is known by, and its domains."""
+    terms = T.query_terms(F.col("canonical_name"), F.col("legal_name"), F.col("company_name"), F.col("domain"), most=most)
+    alias = F.flatten(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: T.query_terms(a, most=most)))
     domain = F.regexp_replace(F.lower(T.blank(F.col("domain"))), r"^www\.", "")
-    return companies.select("company_id", F.slice(F.array_distinct(F.concat(terms, alias)), 1, 10).alias("terms"), F.filter(F.array(domain), lambda d: d != "").alias("domains"), T.size_hint(F.col("size_hint")).alias("size"), F.col("size_hint").alias("stated_size"))
+    return companies.select("company_id", T.first(F.array_distinct(F.concat(terms, alias)), most).alias("terms"), F.filter(F.array(domain), lambda d: d != "").alias("domains"), T.size_hint(F.col("size_hint")).alias("size"), F.col("size_hint").alias("stated_size"))
 
 
 def _lookup(key: Column, values: dict[str, float], default: float) -> Column:
@@ -129,8 +129,8 @@ def top_people(scored: DataFrame, k: int = 8) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def page_people(parsed: DataFrame) -> DataFrame:
-    """(page_id, name, title): people on pages: table rows, headings with what follows, and "Name, Title" blocks; each pair once a page."""
+def page_people(parsed: DataFrame, inline_length: int | None = 140) -> DataFrame:
+    """(page_id, name, title): people on pages: table rows, headings with what follows, and "Name, Title" blocks of at most inline_length characters; each pair once a page."""
     text = F.col("b")
     split = F.array(*[F.struct(F.regexp_extract(text, p, 1).alias("x"), F.regexp_extract(text, p, 2).alias("y")) for p in (r"^(.{3,60}?)\s*[,，|–—:]\s*(.+)$", r"^(.{3,60}?)\s+-\s+(.+)$")])
     pairs = F.flatten(
@@ -141,7 +141,7 @@ def page_people(parsed: DataFrame) -> DataFrame:
         )
     )
     whole = parsed.select("page_id", F.explode(pairs).alias("p")).select("page_id", "p.x", "p.y")
-    inline = parsed.select("page_id", F.explode("blocks").alias("b")).filter(F.length("b") <= 140).select("page_id", F.explode(split).alias("p")).select("page_id", "p.x", "p.y")
+    inline = parsed.select("page_id", F.explode("blocks").alias("b")).filter(F.lit(True) if inline_length is None else F.length("b") <= inline_length).select("page_id", F.explode(split).alias("p")).select("page_id", "p.x", "p.y")
     every = whole.unionByName(inline).filter("x <> '' AND y <> ''")
     turned = every.unionByName(every.select("page_id", F.col("y").alias("x"), F.col("x").alias("y")))
     found = turned.filter(T.looks_like_name(F.col("x")) & T.looks_like_title(F.col("y"))).select("page_id", F.trim("x").alias("name"), F.trim("y").alias("title"))

@@ -194,7 +194,18 @@ def initial_queries(spark, folder):
     return search.initial_queries(table(spark, folder, "companies"))
 
 
-@query()
+_NATIVE_SQL = "CASE lang " + " ".join(f"WHEN {_q(n)} THEN {_list(w)}" for n, _, w in L.LANGUAGES) + " ELSE [] END"
+_LANGUAGE_SQL = _case(f"lower({_b('country')} || ' ' || {_b('language')})", [(n, k) for n, k, _ in L.LANGUAGES], "''")
+
+
+@query(
+    f"""WITH {_QUERIES_SQL}, pass AS (
+  SELECT company_id, list_concat([dom || t for t in {_list([*(f" {t}" for t in L.PEOPLE_TERMS), ' "meet the team" OR "our team"'])}], [dom || ' ' || w for w in {_NATIVE_SQL}]) AS qs
+  FROM (SELECT company_id, 'site:' || {_DOMAIN} AS dom, {_LANGUAGE_SQL} AS lang FROM companies WHERE {_DOMAIN} <> '')
+), numbered AS (
+  SELECT company_id, unnest(range(len(d))) AS seq, unnest(d) AS query FROM (SELECT company_id, list_filter(qs, lambda q, i: list_position(list_transform(qs, lambda x: lower(x)), lower(q)) = i) AS d FROM pass)
+) SELECT company_id, CAST(seq AS INTEGER) AS seq, query FROM numbered n WHERE NOT EXISTS (SELECT 1 FROM initial i WHERE i.company_id = n.company_id AND i.query = n.query)"""
+)
 def people_queries(spark, folder):
     return search.people_queries(table(spark, folder, "companies"))
 
@@ -205,10 +216,6 @@ def company_language(spark, folder):
     return table(spark, folder, "companies").select("company_id", T.language(F.col("country"), F.col("language")).alias("vocabulary"))
 
 
-@query()
-def company_identity(spark, folder):
-    """Legal names found in each company's documents."""
-    return identity.resolve(table(spark, folder, "documents"), table(spark, folder, "companies"))
 
 
 @query(
@@ -371,31 +378,125 @@ def document_emails_raw(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.posexplode(T.raw_emails(F.col("text"))).alias("seq", "email"))
 
 
-@query()
+def _mails_sql(junk: list[str]) -> str:
+    """(doc_id, company_id, seq, email): usable addresses of every document, first seen first."""
+    edge = _q("^[.,;:!?\"'<>()\\[\\]]+|[.,;:!?\"'<>()\\[\\]]+$")
+    spoiled = f"OR {_any('e', junk)}" if junk else ""
+    return rf"""SELECT doc_id, company_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(n)) - 1 AS seq, e AS email FROM (
+  SELECT doc_id, company_id, n, e, string_split(e, '@')[1] AS l, string_split(e, '@')[-1] AS d FROM (
+    SELECT doc_id, company_id, unnest(range(len(m))) AS n, lower(regexp_replace(trim(unnest(m), ' '), {edge}, '', 'g')) AS e
+    FROM (SELECT doc_id, company_id, regexp_extract_all({_PLAIN_AT}, {_q(r'(?:^|[^\p{L}\p{N}_.+-])(' + L.EMAIL + ')')}, 1) AS m FROM documents)))
+  WHERE NOT (contains(e, '..') OR NOT contains(e, '@') OR l = '' OR NOT contains(d, '.') OR regexp_matches(l, '^(www\.|http|ftp|smtp|mail\.)|://|[.\-_+]$') {spoiled} OR l IN {_in(L.GENERIC_LOCALS)} OR length(l) < 2 OR regexp_matches(replace(l, '.', ''), '^[0-9]+$'))
+  GROUP BY doc_id, company_id, e"""
+
+
+def _kind_sql(fit: str) -> str:
+    """[kind, confidence] of an address e with local part l and domain d; fit: the first fit of a name, or null."""
+    roles = " OR ".join(f"starts_with(l, {_q(r)})" for r in L.ROLE_LOCALS if len(r) > 4)
+    return f"""CASE WHEN {fit} IS NOT NULL THEN ['direct', CAST({fit} AS VARCHAR)] WHEN d IN {_in(L.PERSONAL_PROVIDERS)} THEN ['direct', '0.5'] WHEN l IN {_in(L.ROLE_LOCALS)} OR {roles} THEN ['general', '0.7']
+  WHEN length(string_split(l, '.')[1]) <= 2 AND contains(l, '.') THEN ['general', '0.6'] WHEN contains(l, '.') THEN ['direct', '0.45'] ELSE ['general', '0.4'] END"""
+
+
+_NAME_WORDS = rf"list_filter(string_split_regex({_squeeze(r"regexp_replace(lower(coalesce(n, '')), '[^\p{L}\p{N}_\s]', ' ', 'g')")}, '[\s.]+'), lambda t: length(t) > 1)"
+_FIT_SQL = """CASE WHEN len(w) = 0 THEN 0 WHEN l = w[1] OR l = array_to_string(w, '.') THEN 0.8 WHEN l = w[-1] OR l = w[-1] || '.' || w[1] THEN 0.75 WHEN l = w[1] || w[-1] OR l = w[-1] || w[1] THEN 0.6 WHEN len(list_filter(w, lambda x: NOT contains(l, x))) = 0 THEN 0.55 ELSE 0 END"""
+
+
+@query(f"SELECT doc_id, email, k[1] AS kind, CAST(k[2] AS DOUBLE) AS confidence FROM (SELECT doc_id, email, {_kind_sql('NULL')} AS k FROM (SELECT *, string_split(email, '@')[1] AS l, string_split(email, '@')[-1] AS d FROM ({_mails_sql(L.EMAIL_JUNK)})))")
 def document_email_kinds(spark, folder):
     """Usable addresses, and whether they are a person's or a role's."""
     found = contacts.text_emails(table(spark, folder, "documents"))
     return found.select("doc_id", "email", T.email_kind(F.col("email"), F.array().cast("array<string>")).alias("k")).select("doc_id", "email", "k.kind", "k.confidence")
 
 
-@query()
+# A number's neighbours are no word characters or dots; signs that can't stand inside one are doubled, so that two numbers may share a neighbour.
+_PHONES_SQL = rf"""SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY rank, line, k) AS place, digits FROM (
+  SELECT doc_id, line, rank, k, regexp_replace({_squeeze('raw')}, '^[ .-]+|[ .-]+$', '', 'g') AS raw, regexp_replace(raw, '[^0-9]', '', 'g') AS digits FROM (
+    SELECT doc_id, line, rank, unnest(range(len(m))) AS k, trim(unnest(m), ' ') AS raw FROM (
+      SELECT doc_id, line, CASE WHEN regexp_matches(t, {_q(L.PHONE_LABEL)}) THEN 0 ELSE 2 END AS rank,
+        regexp_extract_all(regexp_replace(t, '([^\w\s().+\-])', '\1\1', 'g'), '(?:^|[^\w.])((?:\+|00)?\d[\d\s().\-]{{6,18}}\d)(?:[^\w.]|$)', 1) AS m
+      FROM (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS t FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\r\n|[\n\r]') AS l FROM documents)))))
+  WHERE length(digits) BETWEEN 7 AND 15 AND NOT (NOT regexp_matches(raw, '[\s().\-+]') AND length(digits) > 11) AND NOT regexp_matches(digits, '^20[0-9]{{6,}}$') AND replace(digits, digits[1], '') <> ''"""
+_PHONE_LIST_SQL = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(place)) - 1 AS seq, arg_min(raw, place) AS phone FROM ({_PHONES_SQL}) GROUP BY doc_id, digits"
+
+
+@query(f"SELECT doc_id, CAST(seq AS INTEGER) AS seq, phone FROM ({_PHONE_LIST_SQL})")
 def document_phones(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.posexplode(T.phones(F.col("text"))).alias("seq", "phone"))
+    return table(spark, folder, "documents").select("doc_id", F.posexplode(T.phones(F.col("text"), None)).alias("seq", "phone"))
 
 
-@query()
+# Java's word characters in RE2; a name begins where no word character stands before it.
+_W = r"[\p{L}\p{M}\p{N}\p{Pc}]"
+_LATIN_SQL = L.LATIN_LEGAL.removeprefix(r"(?U)\b").removesuffix("(?![A-Za-z0-9])").replace(r"[\w&'’\-\.]", r"[\p{L}\p{M}\p{N}\p{Pc}&'’\-\.]").replace(r"\s", r"[\t-\r\x{85}\p{Z}]")
+_TRIM_SIGNS = "'^[ ,.;]+|[ ,.;]+$', '', 'g'"
+_LEGAL_SQL = rf"""SELECT doc_id, name, min(place) AS place FROM (
+  SELECT doc_id, place, regexp_replace(array_to_string(w[list_max(list_transform(w, lambda t, i: CASE WHEN regexp_replace(lower(t), '^[.,]+|[.,]+$', '', 'g') IN {_in(L.GENERIC_LOCALS)} THEN i ELSE 0 END)) + 1 :], ' '), {_TRIM_SIGNS}) AS name FROM (
+    SELECT doc_id, place, string_split(n, ' ') AS w FROM (
+      SELECT doc_id, unnest(range(len(ns))) AS place, unnest(ns) AS n FROM (
+        SELECT doc_id, list_concat(regexp_extract_all(t, {_q(f'({L.JP_LEGAL})')}, 1), regexp_extract_all(t, {_q(f'({L.CN_LEGAL})')}, 1),
+          list_filter(list_transform(regexp_extract_all(t, {_q(rf"(?:^|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])({_LATIN_SQL})(?:[^A-Za-z0-9]|$)")}, 1), lambda x: regexp_replace({_squeeze('x')}, {_TRIM_SIGNS})),
+            lambda x: length(x) BETWEEN 2 AND 70 AND contains(x, ' ') AND len(list_filter(string_split(x, ' '), lambda v: lower(v) NOT IN {_in(L.GENERIC_LOCALS)})) > 0)) AS ns
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)))))
+  WHERE name <> '' GROUP BY doc_id, name"""
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS seq, name FROM ({_LEGAL_SQL})")
 def document_legal_names(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.posexplode(T.legal_names(F.col("text"))).alias("seq", "name"))
 
 
-@query()
+def _distinct(items: str) -> str:
+    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
+
+
+def _distinctive(c: str) -> str:
+    return rf"list_filter(string_split_regex(lower({_b(c)}), '[^\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 3 AND t NOT IN {_in(L.LEGAL_NOISE)})"
+
+
+_CLEAN_NAME_SQL = _squeeze(rf"regexp_replace(replace({_b('company_name')}, chr(160), ' '), '[?\x{{FFFD}}\x{{0}}-\x{{1F}}]', ' ', 'g')")
+
+
+@query(
+    rf"""WITH target AS (SELECT company_id, {_CLEAN_NAME_SQL} AS canonical, list_concat({_distinctive('company_name')}, {_distinctive('domain')}, list_filter(string_split_regex(lower({_b('domain')}), '[.\-]'), lambda t: length(t) >= 3)) AS words FROM companies),
+found AS (SELECT company_id, n.name, min((doc_id, place)) AS place FROM ({_LEGAL_SQL}) n JOIN documents USING (doc_id) JOIN target USING (company_id) WHERE list_has_any({_distinctive('n.name')}, words) GROUP BY company_id, n.name),
+best AS (SELECT company_id, first(name ORDER BY length(name) DESC, place) AS legal, count(*) AS spellings FROM found GROUP BY company_id)
+SELECT company_id, canonical AS canonical_name, coalesce(legal, '') AS legal_name, coalesce(spellings, 0) AS spellings, CASE WHEN lower(legal) <> lower(canonical) THEN 'brand' ELSE 'unknown' END AS product_or_company,
+  CASE WHEN lower(legal) <> lower(canonical) THEN CAST(0.55 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END AS confidence FROM target LEFT JOIN best USING (company_id)"""
+)
+def company_identity(spark, folder):
+    """Legal names found in each company's documents."""
+    return identity.resolve(table(spark, folder, "documents"), table(spark, folder, "companies"))
+
+
+def _code_sql(kind: str, pattern: str) -> str:
+    """Edges of words by their neighbours. A bare number may share one with the next: signs are doubled where none can stand inside a code."""
+    flags, rest = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    edged = flags + re.sub(r"\\b$", r"(?:[^\\p{L}\\p{N}_]|$)", re.sub(r"^\\b", r"(?:^|[^\\p{L}\\p{N}_])", rest))
+    text = r"regexp_replace(coalesce(text, ''), '([^\p{L}\p{N}_])', '\1\1', 'g')" if rest.startswith(r"\b([") else "coalesce(text, '')"
+    return f"SELECT doc_id, {_q(kind)} AS kind, unnest(regexp_extract_all({text}, {_q(edged)}, 1)) AS value FROM documents"
+
+
+@query("SELECT DISTINCT doc_id, kind, trim(value, ' ') AS value FROM (" + " UNION ALL ".join(_code_sql(k, p) for k, p in L.REGISTRY_CODES) + ")")
 def document_registry_codes(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.explode(T.registry_codes(F.col("text"))).alias("c")).select("doc_id", "c.kind", "c.value")
+    return table(spark, folder, "documents").select("doc_id", F.explode(T.registry_codes(F.col("text"), None)).alias("c")).select("doc_id", "c.kind", "c.value")
 
 
-@query()
+# "(?U)" makes Java's classes Unicode ones; an address begins where no word character stands before it and ends where none follows.
+_ADDRESS_FORMS = [
+    rf"(?:^|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])({L.LATIN_ADDRESS.removeprefix(r'(?U)\b').removesuffix(r'\b').replace(r'\w', r'\p{L}\p{M}\p{N}\p{Pc}').replace(r'\s', r'[\t-\r\x{85}\p{Z}]').replace(r'\d', r'\p{Nd}')})(?:[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]|$)",
+    f"({L.JP_ADDRESS})",
+    f"({L.CJK_ADDRESS})",
+]
+_EDGES = "'^[ ,;]+|[ ,;]+$', '', 'g'"
+_ADDRESSES_SQL = rf"""WITH hinted AS (
+  SELECT doc_id, n, coalesce({", ".join(f"regexp_extract_all(t, {_q(f)}, 1)[1]" for f in _ADDRESS_FORMS)}) AS a FROM (SELECT doc_id, unnest(range(len(l))) AS n, trim(unnest(l), ' ') AS t FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\r\n|[\n\r]') AS l FROM documents)) WHERE {_any('lower(t)', L.ADDRESS_HINTS)}
+), lined AS (SELECT doc_id, n, regexp_replace(a, {_EDGES}) AS a FROM hinted WHERE a IS NOT NULL),
+whole AS (SELECT doc_id, unnest(range(len(m))) AS n, regexp_replace(unnest(m), {_EDGES}) AS a FROM (SELECT doc_id, {"CASE " + " ".join(f"WHEN len(regexp_extract_all(t, {_q(_ADDRESS_FORMS[i])}, 1)) > 0 THEN regexp_extract_all(t, {_q(_ADDRESS_FORMS[i])}, 1)" for i in (1, 2, 0)) + " ELSE [] END"} AS m FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM lined))))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(n)) - 1 AS INTEGER) AS seq, a AS address FROM (SELECT * FROM lined UNION ALL SELECT * FROM whole) GROUP BY doc_id, a"""
+
+
+@query(_ADDRESSES_SQL)
 def document_addresses(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.posexplode(T.addresses(F.col("text"))).alias("seq", "address"))
+    return table(spark, folder, "documents").select("doc_id", F.posexplode(T.addresses(F.col("text"), None, None, None)).alias("seq", "address"))
 
 
 @query()
@@ -416,9 +517,10 @@ def size_hints(spark, folder):
 
 @query("SELECT text, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
 def distinct_documents(spark, folder):
-    """The first document of every text, with the number of copies."""
+    """The first document of every text, with the number of copies. Texts are grouped by a hash of 256 bits and fetched for the first documents only."""
     docs = table(spark, folder, "documents").filter("text IS NOT NULL")
-    return docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    first = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h")).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    return docs.select("doc_id", "text").join(first.select("doc_id", "copies"), "doc_id").select("text", "doc_id", "copies")
 
 
 # ---- contacts ---------------------------------------------------------------------------------------
@@ -430,12 +532,27 @@ def _names(spark, folder):
     return ranked.groupBy("company_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("names"))
 
 
-@query()
+_CANDIDATES_SQL = rf"""{_SCORES_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY total DESC, name NULLS FIRST, person_id) AS rank FROM totals),
+named AS (SELECT company_id, rank, {_NAME_WORDS.replace("coalesce(n,", "coalesce(name,")} AS w FROM ranked WHERE rank <= 8), sites AS (SELECT company_id, {_DOMAIN} AS domain FROM companies),
+mails AS (SELECT m.*, domain, string_split(email, '@')[1] AS l, string_split(email, '@')[-1] AS d FROM ({_mails_sql([])}) m JOIN sites USING (company_id)),
+fits AS (SELECT doc_id, email, arg_min(fit, rank) AS fit FROM (SELECT doc_id, email, rank, {_FIT_SQL} AS fit FROM mails JOIN named USING (company_id)) WHERE fit > 0 GROUP BY doc_id, email),
+kinds AS (SELECT *, domain <> '' AND (d = domain OR ends_with(d, '.' || domain)) AS official, {_kind_sql("fit")} AS k FROM mails LEFT JOIN fits USING (doc_id, email)),
+sightings AS (
+  SELECT company_id, k[1] || '_email' AS kind, email AS value, doc_id, seq, round(CASE WHEN k[1] = 'direct' THEN CASE WHEN official THEN least(CAST(0.95 AS DOUBLE), CAST(k[2] AS DOUBLE) + CAST(0.2 AS DOUBLE)) ELSE least(CAST(k[2] AS DOUBLE), CAST(0.5 AS DOUBLE)) END ELSE least(CAST(0.95 AS DOUBLE), CAST(k[2] AS DOUBLE) + CAST(0.2 AS DOUBLE)) END, 2) AS confidence
+  FROM kinds WHERE official OR k[1] = 'direct'
+  UNION ALL SELECT company_id, 'phone', phone, doc_id, seq, CAST(0.5 AS DOUBLE) FROM ({_PHONE_LIST_SQL}) JOIN documents USING (doc_id) JOIN sites USING (company_id)
+  UNION ALL SELECT company_id, 'other', 'WeChat: ' || id, doc_id, 0, CAST(0.6 AS DOUBLE) FROM (SELECT doc_id, company_id, regexp_extract({_b('text')}, {_q(L.WECHAT)}, 1) AS id FROM documents) JOIN sites USING (company_id) WHERE id <> ''
+), candidates AS (
+  SELECT company_id, kind, first(value ORDER BY doc_id, seq) AS value, first(confidence ORDER BY doc_id, seq) AS confidence, min((doc_id, seq)) AS place FROM sightings GROUP BY company_id, kind, lower(value)
+)"""
+
+
+@query(_CANDIDATES_SQL + " SELECT company_id, kind, value, confidence, place[1] AS doc_id, CAST(place[2] AS INTEGER) AS seq FROM candidates")
 def contact_candidates(spark, folder):
     return contacts.candidates(table(spark, folder, "documents"), table(spark, folder, "companies"), _names(spark, folder), junk=[])
 
 
-@query()
+@query(_CANDIDATES_SQL + " SELECT company_id, kind, first(value ORDER BY confidence DESC, place, value) AS value, max(confidence) AS confidence FROM candidates GROUP BY company_id, kind")
 def contact_choice(spark, folder):
     return contacts.choose(contact_candidates(spark, folder))
 
@@ -448,12 +565,26 @@ def _patterns(spark, folder):
     return contacts.email_pattern(official.groupBy("company_id", "email").agg(F.min(F.struct(F.col("doc_id").alias("id"), "seq")).alias("place")))
 
 
-@query()
+_PATTERNS_SQL = rf"""WITH sites AS (SELECT company_id, {_DOMAIN} AS domain FROM companies),
+official AS (SELECT company_id, email, string_split(email, '@')[1] AS l, min((doc_id, seq)) AS place FROM ({_mails_sql([])}) JOIN sites USING (company_id) WHERE domain <> '' AND (string_split(email, '@')[-1] = domain OR ends_with(string_split(email, '@')[-1], '.' || domain)) GROUP BY company_id, email),
+shapes AS (SELECT company_id, CASE n WHEN 1 THEN 'first' WHEN 2 THEN 'first.last' ELSE 'f.last' END AS shape, count(*) AS c, min(place) AS place
+  FROM (SELECT *, len(list_filter(string_split_regex(l, '[._-]'), lambda t: t <> '')) AS n FROM official WHERE l NOT IN {_in(L.PATTERN_LOCALS)}) WHERE n > 0 GROUP BY company_id, shape),
+patterns AS (SELECT company_id, pattern, round(greatest(CAST(0 AS DOUBLE), CASE WHEN c = 1 THEN CAST(0.5 AS DOUBLE) ELSE least(CAST(0.85 AS DOUBLE), CAST(0.5 AS DOUBLE) + CAST(0.12 AS DOUBLE) * c) END - CASE WHEN kinds > 1 THEN CAST(0.1 AS DOUBLE) ELSE 0 END), 2) AS confidence
+  FROM (SELECT company_id, first(shape ORDER BY c DESC, place) AS pattern, max(c) AS c, count(*) AS kinds FROM shapes GROUP BY company_id))"""
+
+
+@query(_PATTERNS_SQL + " SELECT company_id, pattern, confidence FROM patterns")
 def email_patterns(spark, folder):
     return _patterns(spark, folder)
 
 
-@query()
+_ALL_WORDS = rf"list_filter(string_split_regex({_squeeze(r"regexp_replace(lower(coalesce(name, '')), '[^\p{L}\p{N}_\s]', ' ', 'g')")}, '[\s.]+'), lambda t: t <> '')"
+
+
+@query(
+    _PATTERNS_SQL + rf""" SELECT person_id, CASE pattern WHEN 'first.last' THEN w[1] || '.' || w[-1] WHEN 'f.last' THEN w[1][1] || '.' || w[-1] ELSE w[1] END || '@' || domain AS email, round(least(CAST(0.55 AS DOUBLE), confidence * CAST(0.6 AS DOUBLE)), 2) AS confidence
+FROM (SELECT person_id, company_id, {_ALL_WORDS} AS w FROM people) JOIN patterns USING (company_id) JOIN sites USING (company_id) WHERE len(w) >= 2 AND domain <> ''"""
+)
 def inferred_emails(spark, folder):
     return contacts.inferred_emails(table(spark, folder, "people"), _patterns(spark, folder), table(spark, folder, "companies"))
 
