@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from claimforge import lexicon as L
 from claimforge.session import widened
 
-_TOKEN = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?-->|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN = ("script", "style", "noscript", "template", "svg")
 _INLINE = ("a", "b", "i", "em", "strong", "span", "small", "sup", "sub", "u", "abbr", "code", "time", "img", "mark", "q", "cite", "font", "label", "input", "button", "select", "option", "textarea")

@@ -137,16 +137,47 @@ def social_links(spark, folder):
     return urls.select(T.socials(F.col("u")).alias("network")).groupBy("network").agg(F.count(F.lit(1)).alias("links"))
 
 
-@query()
+def _unescaped(c: str) -> str:
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
+        c = f"replace({c}, {_q(entity)}, {_q(sign)})"
+    return c
+
+
+_BARE_HTML = "coalesce(html, '')"
+for _gone in ("script", "style", "noscript", "template", "svg"):
+    _BARE_HTML = rf"regexp_replace({_BARE_HTML}, '(?is)<{_gone}\b[^>]*>.*?</{_gone}>', '', 'g')"
+_INLINE_TAGS = "a|b|i|em|strong|span|small|sup|sub|u|abbr|code|time|img|mark|q|cite|font|label|input|select|option|textarea"
+_LINK = _q(r'(?is)<a [^>]*?href="([^"]*)"[^>]*>(.*?)</a>')
+# Links in double quotes, made whole by the page's own address.
+_LINKS_SQL = rf"""SELECT page_id, url, n, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || href ELSE regexp_extract(url, '^[a-z]+://[^?#]*/') || href END AS target,
+  starts_with(href, '#') AS here, {_squeeze("anchor")} AS anchor FROM (
+  SELECT page_id, url, unnest(range(len(hrefs))) AS n, trim({_unescaped("unnest(hrefs)")}, ' ') AS href, {_unescaped("regexp_replace(unnest(anchors), '<[^>]*>', '', 'g')")} AS anchor FROM (
+    SELECT page_id, coalesce(final_url, url, '') AS url, regexp_extract_all(h, {_LINK}, 1) AS hrefs, regexp_extract_all(h, {_LINK}, 2) AS anchors FROM (SELECT *, {_BARE_HTML} AS h FROM pages)))"""
+_WEB_LINKS_SQL = rf"SELECT page_id, url, regexp_replace(target, '#.*$', '') AS target, min(n) AS n, first(anchor ORDER BY n) AS anchor FROM ({_LINKS_SQL}) WHERE NOT here AND regexp_matches(target, '(?i)^https?://') GROUP BY page_id, url, regexp_replace(target, '#.*$', '')"
+
+
+@query(
+    rf"""WITH t AS (SELECT page_id, {_BARE_HTML} AS h FROM pages), named AS (SELECT page_id, {_squeeze(_unescaped("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS title, regexp_replace(regexp_replace(h, '(?is)<title[^>]*>.*?</title>', '', 'g'), '(?is)<!--.*?-->', '', 'g') AS h FROM t),
+sized AS (SELECT page_id, CASE WHEN title <> '' THEN title ELSE {_squeeze(_unescaped("regexp_replace(regexp_extract(h, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"))} END AS title,
+  len(list_filter(string_split_regex(regexp_replace(h, '(?i)</?({_INLINE_TAGS})(\s[^>]*)?/?>', '', 'g'), '<[^>]*>'), lambda x: regexp_matches(x, '[^\t-\r\x1c-\x20\x{{85}}\p{{Z}}]'))) AS blocks,
+  len(regexp_extract_all(h, '(?is)<h[1-6][^>]*>[^<]*[^<\s]')) AS headings, len(regexp_extract_all(h, '(?i)</tr>')) AS rows, len(regexp_extract_all(h, '(?i)<form\b')) AS forms FROM named)
+SELECT page_id, title, blocks, CAST(coalesce(links, 0) AS INTEGER) AS links, forms, rows, headings, CAST(coalesce(mailto, 0) AS INTEGER) AS mailto, CAST(coalesce(tel, 0) AS INTEGER) AS tel FROM sized
+LEFT JOIN (SELECT page_id, count(*) AS links FROM ({_WEB_LINKS_SQL}) GROUP BY page_id) USING (page_id) LEFT JOIN (SELECT page_id, count(*) FILTER (regexp_matches(target, '(?i)^mailto:')) AS mailto, count(*) FILTER (regexp_matches(target, '(?i)^tel:')) AS tel FROM ({_LINKS_SQL}) GROUP BY page_id) USING (page_id)"""
+)
 def page_parts(spark, folder):
     """What one pass over the HTML finds: title, and numbers of blocks, links, forms, rows."""
-    parsed = html.parse_pages(table(spark, folder, "pages"))
+    parsed = html.parse_pages(table(spark, folder, "pages"), anchor_length=None, form_length=None)
     return parsed.select("page_id", "title", *[F.size(c).alias(c) for c in ("blocks", "links", "forms", "rows", "headings", "mailto", "tel")])
 
 
-@query()
+@query(
+    rf"""WITH links AS (SELECT page_id, target, n, anchor FROM ({_WEB_LINKS_SQL}) WHERE {_host('target')} = {_host('url')} AND NOT regexp_matches(lower(target), '\.(pdf|jpe?g|png|gif|svg|webp|zip|docx?|xlsx?|pptx?|mp4|mp3|css|js|ico|woff2?)(\?|$)') AND regexp_replace(target, '/+$', '') <> regexp_extract(target, '^https?://[^/]+')),
+weighed AS (SELECT *, {_case("lower(target || ' ' || anchor)", L.LINK_WEIGHTS, "CAST(0 AS DOUBLE)", lambda v: f"CAST({v} AS DOUBLE)")} AS w FROM links),
+scored AS (SELECT page_id, target, n, round(w + greatest(CAST(0 AS DOUBLE), CAST(0.6 AS DOUBLE) - CAST(0.2 AS DOUBLE) * greatest(length(target) - length(replace(target, '/', '')) - 4, 0)) + CASE WHEN length(anchor) BETWEEN 1 AND 39 THEN CAST(0.4 AS DOUBLE) ELSE 0 END, 2) AS weight FROM weighed WHERE w > 0)
+SELECT page_id, target AS url, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY weight DESC, n) AS rank FROM scored) WHERE rank <= 8"""
+)
 def internal_link_rank(spark, folder):
-    return search.rank_links(html.parse_pages(table(spark, folder, "pages")))
+    return search.rank_links(html.parse_pages(table(spark, folder, "pages"), anchor_length=None))
 
 
 @query()
