@@ -40,7 +40,7 @@ LABELLED_CHARS = 200_000
 #: Pages whose blocks are put through the tree together.
 CHUNK = 500
 
-TOKEN = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--.*?-->|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 HIDDEN = {"script", "style", "noscript", "template", "head", "title"}
 INLINE = {"a", "b", "i", "em", "strong", "span", "small", "sup", "sub", "u", "abbr", "code", "time", "img", "mark", "q", "cite", "font", "label", "input", "button"}
 CONTAINERS = {"nav", "main", "article", "aside", "footer", "header", "section", "div", "td", "form", "body", "ul", "ol", "table"}
