@@ -180,16 +180,6 @@ def internal_link_rank(spark, folder):
     return search.rank_links(html.parse_pages(table(spark, folder, "pages"), anchor_length=None))
 
 
-@query()
-def page_people(spark, folder):
-    return people.page_people(html.parse_pages(table(spark, folder, "pages")))
-
-
-@query()
-def page_contact_forms(spark, folder):
-    return contacts.contact_forms(html.parse_pages(table(spark, folder, "pages")))
-
-
 # ---- companies --------------------------------------------------------------------------------------
 
 
@@ -361,16 +351,6 @@ def person_confidence(spark, folder):
     return people.person_confidence(table(spark, folder, "evidence"), table(spark, folder, "companies"))
 
 
-@query(
-    """SELECT evidence_id, company_id FROM evidence e WHERE EXISTS (SELECT 1 FROM pages p WHERE p.company_id = e.company_id AND regexp_replace(p.final_url, '/+$', '') = regexp_replace(coalesce(e.source_url, ''), '/+$', ''))"""
-)
-def supported_evidence(spark, folder):
-    """Claims whose source is among the fetched pages of the company; a trailing slash makes no difference."""
-    bare = lambda c: F.regexp_replace(T.blank(F.col(c)), "/+$", "")
-    known = table(spark, folder, "pages").select("company_id", bare("final_url").alias("u")).distinct()
-    return table(spark, folder, "evidence").withColumn("u", bare("source_url")).join(known, ["company_id", "u"], "left_semi").select("evidence_id", "company_id")
-
-
 # ---- hits -------------------------------------------------------------------------------------------
 
 _HIT_SQL = rf"""WITH {_TERMS_SQL}, hits AS (
@@ -392,13 +372,6 @@ def hit_ranking(spark, folder):
     return search.rank_hits(hits, table(spark, folder, "companies"))
 
 
-@query()
-def snippet_people(spark, folder):
-    """Evidence quotes as snippets: the people they name for the company."""
-    hits = table(spark, folder, "evidence").select(F.col("evidence_id").alias("hit_id"), "company_id", F.col("source_url").alias("url"), F.col("source_text").alias("snippet"))
-    return people.snippet_people(hits, table(spark, folder, "companies"))
-
-
 # ---- texts ------------------------------------------------------------------------------------------
 
 _PLAIN_AT = r"regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\s*(?:\(at\)|\[at\])\s*', '@', 'g'), '(?i)\s*(?:\(dot\)|\[dot\])\s*', '.', 'g')"
@@ -530,13 +503,6 @@ def document_addresses(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.posexplode(T.addresses(F.col("text"), None, None, None)).alias("seq", "address"))
 
 
-@query()
-def page_text_facts(spark, folder):
-    """Chat ids and copyright holders named in page texts."""
-    facts = table(spark, folder, "pages").select("page_id", T.wechat(F.col("text")).alias("wechat"), T.copyright_entity(F.col("text")).alias("copyright"))
-    return facts.filter("wechat <> '' OR copyright <> ''")
-
-
 @query(
     r"""SELECT doc_id, CASE WHEN gate AND n >= 250 THEN 'large' WHEN gate AND n >= 25 THEN 'medium' WHEN regexp_matches(low, '\b(solo founder|one-person|2[- ]person|tiny team|small team|indie hacker)\b') THEN 'small'
   WHEN regexp_matches(low, '\b(series [a-e]\b|funding round|raised \$|unicorn|ipo|nasdaq|fortune 500)\b') THEN 'large' WHEN regexp_matches(low, '\b(saas platform|enterprise software|global team|offices in)\b') THEN 'medium' ELSE '' END AS size
