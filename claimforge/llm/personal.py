@@ -16,6 +16,7 @@ repeated rows give repeated redactions, and one row each in ``find``; texts of a
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +32,8 @@ SENTENCES_PER_TEMPLATE = 13
 REACH = 3
 KINDS = ("name", "email", "phone", "id_number", "address")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-#: Tokens after which a long line is cut at the next end of a sentence, and tokens decoded together.
-LONG_LINE, BATCH_TOKENS = 250, 400_000
+#: Tokens decoded together; a single text may have more.
+BATCH_TOKENS = 400_000
 EPOCHS, BATCH, RATE, PRIOR = 12, 64, 0.12, 3e-6
 
 _CJK = "\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af々〆"
@@ -43,6 +44,7 @@ TOKEN = re.compile(
 )
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|punkt|point|punto)\s?[\])}]\s?|\s(?:dot|punkt|punto)\s)"
 MAIL = re.compile(rf"[a-z0-9][\w.+-]*(?:\s?@\s?|\s?[\[({{]\s?(?:@|at)\s?[\])}}]\s?|\s(?:at|@)\s)[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}(?-i:[a-z]{{2,10}}|[A-Z]{{2,10}}|[A-Z][a-z]{{1,9}})(?-i:(?![a-z0-9_-]))", re.I)
+#: The outline of a telephone number: of 15 digits at most (as E.164 has it, see ``keys`` and ``checked``), so of 26 signs with what stands between.
 DIGITS = re.compile(r"(?<![\w])(?:\+|\()?\d[\d\s()./-]{5,24}\d(?![\w])")
 #: Outlines of public identity numbers: social security, national insurance, passports, identity cards, tax.
 PAPERS = re.compile(
@@ -75,19 +77,74 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(text)]
 
 
-def keys(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, int]]:
+#: Where an address of mail may have its "at", and the digits that every number holds: outlines are looked for around these only.
+AT = re.compile(r"@|(?<=[\s\[({])at(?=[\s\])}])", re.I)
+DIGIT_RUN = re.compile(r"\d+")
+_LOCAL_BEGINS = "ſKıİ"
+
+
+class Outlines:
+    """What in a text has the outline of an address of mail, of a telephone number, of an identity number: the matches of MAIL, DIGITS and PAPERS."""
+
+    __slots__ = ("mail", "digits", "papers")
+
+    def __init__(self, text: str):
+        self.mail, self.digits, self.papers = [], [], []
+        end = 0
+        for m in AT.finditer(text):
+            if m.start() < end:
+                continue
+            k = m.start()
+            k -= k > end and text[k - 1].isspace()
+            if k > end and text[k - 1] in "[({":
+                k -= 1
+                k -= k > end and text[k - 1].isspace()
+            # The local part is the longest run before; it begins with a plain letter or a digit.
+            first = -1
+            while k > end and (text[k - 1].isalnum() or text[k - 1] in "_.+-"):
+                k -= 1
+                if (text[k].isascii() and text[k].isalnum()) or text[k] in _LOCAL_BEGINS:
+                    first = k
+            if first >= 0 and (found := MAIL.match(text, first)):
+                end = found.end()
+                self.mail.append(found.span())
+        end = after = 0
+        for m in DIGIT_RUN.finditer(text):
+            k = m.start()
+            if k >= end and (found := (k > end and text[k - 1] in "+(" and DIGITS.match(text, k - 1)) or DIGITS.match(text, k)):
+                end = found.end()
+                self.digits.append(found.span())
+            if k >= after:
+                # Up to two capitals and a space or hyphen stand before the digits.
+                for x in range(max(after, k - 3), k + 1):
+                    if (x == k or "A" <= text[x] <= "Z") and (found := PAPERS.match(text, x)):
+                        after = found.end()
+                        self.papers.append(found.span())
+                        break
+
+    @staticmethod
+    def around(outlines: list[tuple[int, int]], a: int, b: int) -> tuple[int, int] | None:
+        """The outline that holds a to b."""
+        k = bisect_right(outlines, a, key=lambda x: x[0]) - 1
+        return outlines[k] if k >= 0 and b <= outlines[k][1] else None
+
+
+def _count_digits(value: str) -> int:
+    return sum(map(str.isdigit, value))
+
+
+def keys(text: str, spans: list[tuple[int, int]], outlines: Outlines | None = None) -> list[tuple[str, int]]:
     """What a token is known by: its text and its flags (1: after a space, 2: in the outline of mail, 4: of digits like a telephone's, 8: of an identity number)."""
+    outlines = outlines or Outlines(text)
     marked = bytearray(len(text) + 1)
-    if "@" in text or "at" in text or "AT" in text or "At" in text:
-        for m in MAIL.finditer(text):
-            marked[m.start() : m.end()] = b"\x02" * (m.end() - m.start())
-    for m in DIGITS.finditer(text):
-        n = sum(c.isdigit() for c in m[0])
-        if 7 <= n <= 15:
-            for i in range(m.start(), m.end()):
+    for a, b in outlines.mail:
+        marked[a:b] = b"\x02" * (b - a)
+    for a, b in outlines.digits:
+        if 7 <= _count_digits(text[a:b]) <= 15:
+            for i in range(a, b):
                 marked[i] |= 4
-    for m in PAPERS.finditer(text):
-        for i in range(m.start(), m.end()):
+    for a, b in outlines.papers:
+        for i in range(a, b):
             marked[i] |= 8
     end, out = -1, []
     for a, b in spans:
@@ -163,11 +220,12 @@ class Field:
         if len(self.rows) > 250_000:
             self.known.clear()
             self.rows.clear()
-        row = self._row
-        known = self.known
         flat, lengths = [], []
         for text in batch:
-            flat += [known[k] if k in known else row(k) for k in text]
+            rows = list(map(self.known.get, text))
+            if None in rows:
+                rows = [self._row(k) if r is None else r for r, k in zip(rows, text)]
+            flat += rows
             lengths.append(len(text))
         ids = np.array(flat, np.int64)
         used, ids = np.unique(ids, return_inverse=True)
@@ -214,13 +272,13 @@ class Field:
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         group: list[int] = []
         size = 0
-        prepared: dict[int, tuple[list[tuple[int, int]], list[tuple[str, int]]]] = {}
+        prepared: dict[int, tuple[list[tuple[int, int]], list[tuple[str, int]], Outlines]] = {}
 
         def decode():
             scores = self.scores([prepared[i][1] for i in group])
             starts, lengths, base = [], [], 0
             for i in group:
-                spans, ks = prepared[i]
+                ks = prepared[i][1]
                 for a, b in segments(ks):
                     starts.append(base + a)
                     lengths.append(b - a)
@@ -228,15 +286,16 @@ class Field:
             labels = self.viterbi(scores, np.array(starts, np.int64), np.array(lengths, np.int64))
             base = 0
             for i in group:
-                spans, ks = prepared.pop(i)
-                out[i] = checked(texts[i], spans, labels[base : base + len(ks)])
+                spans, ks, outlines = prepared.pop(i)
+                out[i] = checked(texts[i], spans, labels[base : base + len(ks)], outlines)
                 base += len(ks)
 
         for i, text in enumerate(texts):
             spans = tokens(text)
             if not spans:
                 continue
-            prepared[i] = (spans, keys(text, spans))
+            outlines = Outlines(text)
+            prepared[i] = (spans, keys(text, spans, outlines), outlines)
             group.append(i)
             size += len(spans)
             if size > BATCH_TOKENS:
@@ -248,19 +307,9 @@ class Field:
 
 
 def segments(ks: list[tuple[str, int]]) -> list[tuple[int, int]]:
-    """The runs of tokens that are decoded on their own: lines, cut after a sentence when they are long."""
-    out, a = [], 0
-    for i, (w, _) in enumerate(ks):
-        if w == "\n":
-            if i > a:
-                out.append((a, i))
-            a = i + 1
-        elif i - a >= LONG_LINE and w in ".。!?;" and i and len(ks[i - 1][0]) > 3 and ks[i - 1][0].islower():
-            out.append((a, i + 1))
-            a = i + 1
-    if len(ks) > a:
-        out.append((a, len(ks)))
-    return out
+    """The runs of tokens that are decoded on their own: the lines, of any length."""
+    ends = [-1, *(i for i, k in enumerate(ks) if k[0] == "\n"), len(ks)]
+    return [(a + 1, b) for a, b in zip(ends, ends[1:]) if b > a + 1]
 
 
 ABBREVIATED = re.compile(r"(?:\b(?:St|Rd)|str|Str)\.$")
@@ -270,7 +319,7 @@ SENTENCE_END = re.compile(r"\w{2,}(\.)\s")
 BLOCK = re.compile(r"\d+\s?[-－‐−]\s?\d+|丁目|番地?|号")
 
 
-def checked(text: str, spans: list[tuple[int, int]], labels: np.ndarray) -> list[tuple[int, int, str]]:
+def checked(text: str, spans: list[tuple[int, int]], labels: np.ndarray, outlines: Outlines) -> list[tuple[int, int, str]]:
     """The marked spans that pass the plain checks of their kind."""
     out = []
     hits = np.flatnonzero(labels)
@@ -301,10 +350,9 @@ def checked(text: str, spans: list[tuple[int, int]], labels: np.ndarray) -> list
             while a < b and not (text[a].isdigit() or text[a] in "+(" or (name == "id_number" and text[a].isascii() and text[a].isupper())):
                 a += 1
             # A number is taken as a whole: its outline, if that holds what was marked.
-            for m in (PAPERS if name == "id_number" else DIGITS).finditer(text, max(0, a - 30), min(len(text), b + 30)):
-                if m.start() <= a and b <= m.end() and sum(c.isdigit() for c in m[0]) <= 15:
-                    a, b = m.span()
-                    break
+            whole = Outlines.around(outlines.papers if name == "id_number" else outlines.digits, a, b)
+            if whole and _count_digits(text[whole[0] : whole[1]]) <= 15:
+                a, b = whole
             else:
                 if name == "id_number" and (m := re.match(r"(?:[A-Z]{1,2}[ -]?)?\d[\d ./-]*\d(?:-?[A-Z](?![\w'’]))?", text[a:b])):
                     b = a + m.end()
@@ -319,9 +367,12 @@ def checked(text: str, spans: list[tuple[int, int]], labels: np.ndarray) -> list
                 b -= 1
         elif name == "email":
             # Whole addresses: every outline of one that the marked span touches.
-            for m in MAIL.finditer(text, max(0, a - 60), min(len(text), b + 60)):
-                if m.start() < b and m.end() > a and not (out and out[-1][2] == "email" and out[-1][1] > m.start()):
-                    out.append((*m.span(), name))
+            k = max(0, bisect_right(outlines.mail, a, key=lambda x: x[0]) - 1)
+            while k < len(outlines.mail) and outlines.mail[k][0] < b:
+                x, y = outlines.mail[k]
+                if y > a and not (out and out[-1][2] == "email" and out[-1][1] > x):
+                    out.append((x, y, name))
+                k += 1
             continue
         value = text[a:b]
         digits = sum(c.isdigit() for c in value)
@@ -454,7 +505,7 @@ def field(per_template: int = SENTENCES_PER_TEMPLATE) -> Field:
 # ---- operators --------------------------------------------------------------------------------------
 
 #: Documents decoded together; a batch of fewer tokens than BATCH_TOKENS each time.
-CHUNK = 256
+CHUNK = 1024
 
 
 def _marked(texts: list[str | None], model: Field) -> Iterator[tuple[int, str | None, list[tuple[int, int, str]]]]:

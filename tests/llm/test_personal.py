@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -64,3 +65,22 @@ def test_rows(spark, field):
     out = {r.doc_id: r.text for r in personal.redact(df, field).collect()}
     assert out == {1: "Mail [EMAIL] or [EMAIL].", 2: None, 3: "", 4: " \n"}
     assert personal.find(df.limit(0), field).count() == 0
+
+
+def test_outlines_are_the_matches_of_the_patterns():
+    rng = random.Random(9)
+    parts = ["a.b@c.de", "jo [at] firm dot com", " at ", "AT", "(at)", "@", " ", "  ", "x_y", ".", "-", "+", "(", ")", "12 34 567", "+49 30 1234567", "AB123456C", "X-1234567-L", "555-12-3456", "Z 12345678", "é", "K", "\n", "com", "firm.example", "2019年", "123456789012345678901234567890", "/", "12"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        got = personal.Outlines(text)
+        assert got.mail == [m.span() for m in personal.MAIL.finditer(text)], text
+        assert got.digits == [m.span() for m in personal.DIGITS.finditer(text)], text
+        assert got.papers == [m.span() for m in personal.PAPERS.finditer(text)], text
+
+
+def test_details_far_inside_long_lines():
+    """No window and no cut: one line of thousands of words, a mailbox of a hundred letters."""
+    model = personal.field()
+    line = "The report was read in the hall and nobody left before noon. " * 400
+    text = line + "Write to " + "m" * 100 + "@mail.firm.example today. " + line
+    assert ("email", "m" * 100 + "@mail.firm.example") in {(k, text[a:b]) for a, b, k in model.mark([text])[0]}
