@@ -17,7 +17,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder and read back, so that lost executors cost no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a local session (tests) gets one of its own; a cluster's is an error.
     """
     _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -26,7 +26,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"claimforge-{os.getpid()}-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix=f"claimforge-{os.getpid()}-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -115,11 +115,12 @@ _connection = None
 
 
 def _duck():
+    """A connection of its own for each worker; it never writes to disk: Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set)."""
     global _connection
     if _connection is None:
         import duckdb
 
-        _connection = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        _connection = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
     return _connection
 
 
@@ -129,7 +130,7 @@ def clean_array(values: pa.Array) -> pa.Array:
     batch = pa.table({"row": pa.array(range(len(values)), pa.int64()), "value": values})
     duck.register("batch", batch)
     try:
-        got = duck.execute(SQL).to_arrow_table() if hasattr(duck, "to_arrow_table") else duck.execute(SQL).fetch_arrow_table()
+        got = duck.execute(SQL).fetch_arrow_table()
     finally:
         duck.unregister("batch")
     return got.column("clean").combine_chunks().cast(pa.string())

@@ -4,7 +4,7 @@ Sizes are tokens of a public tokenizer. The total is the largest at which every
 using a document more than max_repeats times (or a given total, of which short sources then fill what they can). Each
 source's quota is cut into blocks of equal size, in proportion to its share; a tree over the output shards splits the exact counts of blocks
 per source, each inner node drawing its left half from the multivariate hypergeometric distribution, until every shard knows how many blocks of each source it holds.
-Shards draw disjoint runs of blocks from each source's permuted documents, and shuffle them locally.
+The driver splits the top of the tree, tasks the nodes below. Shards draw disjoint runs of blocks from each source's permuted documents, and shuffle them locally.
 
 A document's place in its source's permutation is a prefix sum in two levels (hash buckets of bounded size, then within a bucket), so
 that no source, however large, is sorted in one task. A quota of q full passes and a rest uses every document q times
@@ -18,41 +18,53 @@ are one document; if nothing can be drawn, mixture and report are empty or zero.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimforge.llm import bpe
 from claimforge.llm.common import checkpointed
+from claimforge.session import widened
 
 #: Tokens of a shard, blocks of a shard, documents of a bucket; targets may list at most MOST_SOURCES sources.
 SHARD_TOKENS, BLOCKS, BUCKET_DOCS, MOST_SOURCES = 500_000, 64, 5_000, 10_000
-MOST_SHARDS = 100_000
+#: Nodes that the driver splits the tree into, fewer with many sources so that they hold TOP_COUNTS numbers at most; tasks split the rest. Blocks that the draw allows.
+TOP_NODES, TOP_COUNTS, MOST_BLOCKS = 1_000, 2_000_000, 999_999_999
 SEED = 20_240_501
 
 
-def split_tree(blocks: list[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """(shards, sources) counts: the blocks of each source divided among shards of equal size, exactly and at random."""
-    total = sum(blocks)
-    sizes = np.full(shards, total // shards)
-    sizes[: total % shards] += 1
-    out = np.zeros((shards, len(blocks)), np.int64)
-    rng = np.random.default_rng(seed)
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    stack = [(0, shards, np.array(blocks, np.int64))]
+Node = tuple[int, int, list[int], list[int]]
+
+
+def split(node: Node, total: int, shards: int, seed: int, most: int = 1) -> list[Node]:
+    """The nodes of at most ``most`` shards below a node, exactly and at random.
+
+    A node is (first shard, end, its blocks of each source, the blocks of each source in the shards before it). Every draw depends on the seed and
+    the node alone, so that parts of the tree can be split anywhere. The shards hold total blocks, equally many but for one.
+    """
+    end = lambda shard: shard * (total // shards) + min(shard, total % shards)
+    out, stack = [], [node]
     while stack:
-        lo, hi, counts = stack.pop()
-        if hi - lo == 1:
-            out[lo] = counts
+        lo, hi, counts, before = stack.pop()
+        if hi - lo <= max(1, most):
+            out.append((lo, hi, counts, before))
             continue
         mid = (lo + hi) // 2
-        left = rng.multivariate_hypergeometric(counts, int(ends[mid] - ends[lo]), method="marginals")
-        stack += [(mid, hi, counts - left), (lo, mid, left)]
+        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(counts, end(mid) - end(lo), method="marginals").tolist()
+        stack += [(mid, hi, [c - x for c, x in zip(counts, left)], [b + x for b, x in zip(before, left)]), (lo, mid, left, before)]
     return out
 
 
+def split_tree(blocks: list[int], shards: int, seed: int = SEED) -> np.ndarray:
+    """(shards, sources) counts: the blocks of each source divided among shards of equal size, exactly and at random."""
+    leaves = split((0, shards, list(blocks), [0] * len(blocks)), sum(blocks), shards, seed)
+    return np.array([counts for _, _, counts, _ in leaves], np.int64).reshape(shards, len(blocks))
+
+
 def apportion(shares: list[float], total: int) -> list[int]:
     """Whole numbers in proportion to shares that sum to total, by largest remainders; none is 0 where total allows."""
     whole = sum(shares)
@@ -75,7 +87,7 @@ def _uniform(key: str, seed: int):
 class Plan:
     """What is drawn of each source; built on the driver from one row per listed source."""
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED, tokenizer: str = bpe.DEFAULT_TOKENIZER):
+    def __init__(self, documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED, tokenizer: str = bpe.DEFAULT_TOKENIZER, shard_tokens: int = SHARD_TOKENS):
         wanted = targets.filter(F.col("source").isNotNull() & (F.col("target_share") > 0)).groupBy("source").agg(F.sum("target_share").alias("share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("most"))
         self.targets = {r.source: (r.share, max(0, r.most)) for r in wanted.limit(MOST_SOURCES + 1).collect()}
         if len(self.targets) > MOST_SOURCES:
@@ -93,15 +105,17 @@ class Plan:
         most = {s: self.size[s] * self.targets[s][1] for s in self.names}
         self.total = (total if total is not None else min((math.floor(most[s] / self.share[s]) for s in self.names), default=0)) if self.names else 0
         self.quota = {s: min(most[s], round(self.share[s] * self.total)) for s in self.names}
-        self.shards = max(1, min(MOST_SHARDS, math.ceil(sum(self.quota.values()) / SHARD_TOKENS)))
+        self.shards = max(1, math.ceil(sum(self.quota.values()) / shard_tokens))
         slots = max(self.shards * BLOCKS, len(self.names))
+        if slots > MOST_BLOCKS:
+            raise ValueError(f"{self.shards} shards are more than can be drawn for: take shard_tokens above {shard_tokens}")
         self.blocks = dict(zip(self.names, apportion([self.quota[s] for s in self.names], slots))) if self.total else {}
 
     def draw(self) -> DataFrame:
         """(source, doc_id, copy, n_tokens, block): every use of every document."""
         spark = self.sized.sparkSession
         rows = [(s, self.size[s], self.quota[s] // self.size[s], self.quota[s] % self.size[s], max(1, math.ceil(self.docs[s] / BUCKET_DOCS)), self.blocks[s], self.quota[s]) for s in self.names if self.quota[s] > 0]
-        plan = spark.createDataFrame(rows, "source string, size bigint, passes bigint, rest bigint, buckets bigint, blocks int, quota bigint")
+        plan = spark.createDataFrame(rows, "source string, size bigint, passes bigint, rest bigint, buckets bigint, blocks bigint, quota bigint")
         placed = self.sized.join(F.broadcast(plan), "source").withColumn("u", _uniform("doc_id", self.seed)).withColumn("bucket", F.floor(F.col("u") * F.col("buckets")))
         sums = placed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
         before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -113,20 +127,28 @@ class Plan:
         copies = lined.withColumn("uses", uses).filter("uses > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("uses") - 1)).alias("copy"))
         middle = F.col("copy") * F.col("size") + F.col("start") + F.col("n_tokens") / 2
         block = F.least(F.floor(middle * F.col("blocks") / F.greatest("quota", F.lit(1))), F.col("blocks") - 1)
-        return copies.select("source", "doc_id", F.col("copy").cast("int").alias("copy"), "n_tokens", block.cast("int").alias("block"))
+        return copies.select("source", "doc_id", F.col("copy").cast("int").alias("copy"), "n_tokens", block.cast("bigint").alias("block"))
 
     def leaves(self) -> DataFrame:
         """(source, block, shard): which shard holds each block; each shard's run of blocks of a source is contiguous."""
         spark = self.sized.sparkSession
         names = [s for s in self.names if self.quota[s] > 0]
         if not names:
-            return spark.createDataFrame([], "source string, block int, shard int")
-        counts = split_tree([self.blocks[s] for s in names], self.shards, self.seed)
-        rows = []
-        for k, s in enumerate(names):
-            ends = np.cumsum(counts[:, k])
-            rows += [(s, int(e - n), int(e), shard) for shard, (e, n) in enumerate(zip(ends, counts[:, k])) if n]
-        runs = spark.createDataFrame(rows, "source string, lo int, hi int, shard int")
+            return spark.createDataFrame([], "source string, block bigint, shard int")
+        blocks = [self.blocks[s] for s in names]
+        total, shards, seed = sum(blocks), self.shards, self.seed
+        width = math.ceil(shards / max(1, min(TOP_NODES, TOP_COUNTS // len(names))))
+        top = split((0, shards, blocks, [0] * len(names)), total, shards, seed, width)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for node in zip(*(c.to_pylist() for c in batch.columns)):
+                    for shard, _, counts, before in split(node, total, shards, seed):
+                        held = [(s, b, b + n, shard) for s, n, b in zip(names, counts, before) if n]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.string(), pa.int64(), pa.int64(), pa.int32()))], names=["source", "lo", "hi", "shard"])
+
+        nodes = spark.createDataFrame(top, "first int, past int, counts array<bigint>, before array<bigint>")
+        runs = widened(nodes).mapInArrow(run, "source string, lo bigint, hi bigint, shard int")
         return runs.select("source", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("block"), "shard")
 
 

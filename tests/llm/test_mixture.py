@@ -78,3 +78,25 @@ def test_tree_spreads():
 def test_apportion(shares, total):
     got = mixture.apportion(shares, total)
     assert sum(got) == total and min(got) >= 1
+
+
+def test_tree_split_in_two_steps():
+    """The top on the driver and the rest in tasks give the same leaves as the whole tree at once."""
+    blocks, shards = [40, 7, 0, 91], 23
+    whole = mixture.split((0, shards, blocks, [0] * 4), sum(blocks), shards, 5)
+    top = mixture.split((0, shards, blocks, [0] * 4), sum(blocks), shards, 5, 6)
+    assert len(top) < len(whole) == shards and sorted(leaf for node in top for leaf in mixture.split(node, sum(blocks), shards, 5)) == sorted(whole)
+    at = [0] * 4
+    for lo, hi, counts, before in sorted(whole):
+        assert before == at and hi == lo + 1 and sum(counts) in (sum(blocks) // shards, sum(blocks) // shards + 1)
+        at = [x + c for x, c in zip(at, counts)]
+    assert at == blocks
+
+
+def test_many_small_shards(spark, documents, monkeypatch):
+    plan = mixture.Plan(documents, targets(spark, ("big", 0.5, 1), ("mid", 0.5, 2)), shard_tokens=20)
+    held = plan.leaves().collect()
+    assert plan.shards > 100 and len({(r.source, r.block) for r in held}) == len(held) == sum(plan.blocks.values())
+    monkeypatch.setattr(mixture, "MOST_BLOCKS", 100)
+    with pytest.raises(ValueError, match="shard_tokens"):
+        mixture.Plan(documents, targets(spark, ("big", 1.0, 1)), shard_tokens=20)
