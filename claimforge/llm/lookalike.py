@@ -125,15 +125,20 @@ def _duck():
 
 
 def clean_array(values: pa.Array) -> pa.Array:
-    """The consistent form of each value."""
+    """The consistent form of each value. Values of ASCII signs alone are their own form, as no expression of SQL changes one."""
+    import pyarrow.compute as pc
+
+    foreign = pc.fill_null(pc.invert(pc.string_is_ascii(values)), False)
+    some = values.filter(foreign)
+    if not len(some):
+        return values
     duck = _duck()
-    batch = pa.table({"row": pa.array(range(len(values)), pa.int64()), "value": values})
-    duck.register("batch", batch)
+    duck.register("batch", pa.table({"row": pa.array(range(len(some)), pa.int64()), "value": some}))
     try:
-        got = duck.execute(SQL).fetch_arrow_table()
+        got = duck.sql(SQL).to_arrow_table()
     finally:
         duck.unregister("batch")
-    return got.column("clean").combine_chunks().cast(pa.string())
+    return pc.replace_with_mask(values, foreign, got.column("clean").combine_chunks().cast(pa.string()))
 
 
 def unify(df: DataFrame, key: str, column: str, field: str) -> DataFrame:

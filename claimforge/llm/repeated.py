@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import host_of
+from claimforge.llm.common import host_of, written
 
 MIN_URLS = 8
 SALTS = 8
@@ -60,8 +60,8 @@ def frequent_lines(found: DataFrame, min_urls: int = MIN_URLS) -> DataFrame:
 
 
 def occurrences(pages: DataFrame, min_urls: int = MIN_URLS) -> DataFrame:
-    """(page_id, line_no, a, b, u, urls): every occurrence of a frequent line."""
-    return _frequent(lines(pages), min_urls)
+    """(page_id, line_no, a, b, u, urls): every occurrence of a frequent line. The lines are written once and read twice."""
+    return _frequent(written(lines(pages)), min_urls)
 
 
 def _frequent(found: DataFrame, min_urls: int) -> DataFrame:

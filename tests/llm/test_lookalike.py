@@ -1,3 +1,5 @@
+import random
+
 import pyarrow as pa
 import pytest
 
@@ -29,6 +31,16 @@ def test_kept(text):
     assert lookalike.clean_array(pa.array([text], pa.string())).to_pylist() == [text]
 
 
+def test_no_ascii_text_would_change():
+    """Why plain values need no SQL: run by it all the same beside a sign of another script's digits, they stay as they are."""
+    rng = random.Random(4)
+    texts = ["".join(chr(rng.randrange(128)) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    assert lookalike.clean_array(pa.array(texts)).to_pylist() == texts
+    assert lookalike.clean_array(pa.array([f"é {t}" for t in texts])).to_pylist() == [f"é {t}" for t in texts]
+    mixed = ["plain", None, "Аlеx", "", "ﬁrst"]
+    assert lookalike.clean_array(pa.array(mixed)).to_pylist() == ["plain", None, "Alex", "", "first"] and len(lookalike.clean_array(pa.array([], pa.string()))) == 0
+
+
 def test_idempotent_and_rows(spark):
     rows = [(1, "Αlex", "x"), (1, "Αlex", "x"), (2, None, "y"), (None, "ok", "z")]
     df = spark.createDataFrame(rows, "k long, value string, field string")
