@@ -48,6 +48,8 @@ _signs = [*range(0xFF01, 0xFF10), *range(0xFF1A, 0xFF21), *range(0xFF3B, 0xFF41)
 WIDE_SIGNS = "".join(map(chr, _signs))
 WIDE_SIGNS_AS = "".join(chr(c - 0xFEE0) for c in _signs)
 KEPT_JOINER, KEPT_SPLITTER = "", ""
+#: Stands for a NUL while SQL runs: a sign that is none in any text.
+KEPT_NUL = "\ufdd9"
 
 
 def _quoted(text: str) -> str:
@@ -133,12 +135,15 @@ def clean_array(values: pa.Array) -> pa.Array:
     if not len(some):
         return values
     duck = _duck()
+    # DuckDB's nfc_normalize ends a text at its first NUL.
+    some = pc.replace_substring(some, "\0", KEPT_NUL)
     duck.register("batch", pa.table({"row": pa.array(range(len(some)), pa.int64()), "value": some}))
     try:
         got = duck.sql(SQL).to_arrow_table()
     finally:
         duck.unregister("batch")
-    return pc.replace_with_mask(values, foreign, got.column("clean").combine_chunks().cast(pa.string()))
+    clean = pc.replace_substring(got.column("clean").combine_chunks().cast(pa.string()), KEPT_NUL, "\0")
+    return pc.replace_with_mask(values, foreign, clean)
 
 
 def unify(df: DataFrame, key: str, column: str, field: str) -> DataFrame:
