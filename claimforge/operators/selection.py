@@ -25,7 +25,7 @@ def supported(evidence: DataFrame, known: DataFrame) -> DataFrame:
     met = long.join(pieces, ["company_id", "piece"]).filter(F.contains("u", F.col("e"))).select("company_id", "e")
     short = claims.filter(F.length("e") < TAIL).join(urls, "company_id").filter(F.contains("u", F.col("e"))).select("company_id", "e")
     held = met.unionByName(short).distinct()
-    return evidence.withColumn("e", T.blank(F.col("source_url"))).join(held, ["company_id", "e"], "left_semi").drop("e")
+    return evidence.withColumn("_e", T.blank(F.col("source_url"))).join(held.withColumnRenamed("e", "_e"), ["company_id", "_e"], "left_semi").select(*evidence.columns)
 
 
 def supported_people(kept: DataFrame) -> DataFrame:

@@ -22,9 +22,12 @@ def read_companies(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).option("multiLine", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
     clean = raw.toDF(*[c.replace("﻿", "").strip().lower() or f"_{i}" for i, c in enumerate(raw.columns)])
     names = clean.columns
-    # The order within a file is that of its byte offsets, which the id follows; one pass numbers the rows.
-    numbered = clean.withColumn("_at", F.monotonically_increasing_id())
-    numbered = numbered.withColumn("row_index", F.row_number().over(W.orderBy("_at")) - 1).drop("_at")
+    # The order within a partition is that of the file, which the id follows; partitions are counted first, so that no task sees all rows.
+    marked = clean.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    sizes = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each partition of the file.
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    numbered = marked.join(before, "_part").withColumn("row_index", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_before")
     cell = lambda c: F.trim(T.blank(F.col(f"`{c}`")))
     pick = lambda keys: F.coalesce(*[F.nullif(cell(k), F.lit("")) for k in keys if k in names], F.lit(""))
     name, domain = pick(NAME_KEYS), pick(DOMAIN_KEYS)
