@@ -21,7 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimforge.functions.text import let
 from claimforge.llm.common import checkpointed, written
 from claimforge.llm.titles_lexicon import spellings
 
@@ -118,11 +117,13 @@ def match_forms(forms: DataFrame, known: DataFrame, t: float = MIN_JACCARD) -> D
     )
     # Written, or the checks would be made before the pairs are made distinct. The cheaper of the two comes first; both must hold.
     near = written(near)
-    slips = let(F.levenshtein("x_form", "y_form", FARTHEST), lambda d: F.when(_typing_error(F.col("x_form"), F.col("y_form"), d), d))
-    near = near.withColumn("distance", slips).filter(F.col("distance").isNotNull())
+    # Few pairs pass the first test, so the distance is computed once for most.
+    close = near.filter(F.levenshtein("x_form", "y_form", FARTHEST) >= 0).withColumn("distance", F.levenshtein("x_form", "y_form", FARTHEST))
+    near = close.filter(_typing_error(F.col("x_form"), F.col("y_form"), F.col("distance")))
     gx, gy = grams(F.col("x_form")), grams(F.col("y_form"))
     shared = F.size(F.array_intersect(gx, gy))
-    exact = near.withColumn("jaccard", shared / (F.size(gx) + F.size(gy) - shared)).filter(F.col("jaccard") >= t)
+    # Written, or a join's runtime filter would check all pairs once more.
+    exact = written(near.withColumn("jaccard", shared / (F.size(gx) + F.size(gy) - shared)).filter(F.col("jaccard") >= t))
     return exact.join(known.withColumnRenamed("form", "y_form"), "y_form").select(F.col("x_form").alias("form"), "role_id", "jaccard", "distance")
 
 
