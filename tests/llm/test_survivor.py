@@ -80,3 +80,67 @@ def test_unfinished_rounds_are_an_error(spark):
     tight = {r.person_key: r.share for r in survivor.resolve(df, tolerance=1e-4).collect()}
     tighter = {r.person_key: r.share for r in survivor.resolve(df, tolerance=1e-5).collect()}
     assert all(abs(tight[p] - tighter[p]) < 0.01 for p in tight) and len(tight) == 20
+
+
+def exact(rows):
+    """The method in plain Python, for usable titles only: (reliability by source, winner by person)."""
+    claims = {}
+    for v, p, title, source, c, d in rows:
+        claims.setdefault(p, []).append((title.lower(), source, c, d, v))
+    votes, ends = {}, {}
+    for p, own in claims.items():
+        latest, surest = max(own, key=lambda x: (x[3], x[2], -x[4])), max(own, key=lambda x: (x[2], x[3], -x[4]))
+        ends[p] = latest[0], surest[0]
+        for t, s, c, _, _ in own:
+            w, n = votes.get((p, t, s), (0.0, 0))
+            votes[p, t, s] = w + c, n + 1
+        for name, t in ((survivor.LATEST, latest[0]), (survivor.SUREST, surest[0])):
+            votes[p, t, name] = 0.0, 1
+    decided = lambda p: ends[p][0] == ends[p][1]
+    mean = lambda hits, n: (hits + survivor.PRIOR / 2) / (n + survivor.PRIOR)
+    sources = {s for _, _, s in votes}
+    fixed = {s: (sum(n * (t == ends[p][0]) for (p, t, x), (_, n) in votes.items() if x == s and decided(p)), sum(n for (p, t, x), (_, n) in votes.items() if x == s and decided(p))) for s in sources}
+    r = {s: mean(*fixed[s]) for s in sources}
+
+    def shares():
+        s_of, b_of = {}, {}
+        for (p, t, s), (w, _) in votes.items():
+            witness = s in (survivor.LATEST, survivor.SUREST)
+            s_of[p, t] = s_of.get((p, t), 0.0) + (0.0 if witness else w * r[s])
+            b_of[p, t] = b_of.get((p, t), 0.0) + (survivor.WITNESS * max(r[s], survivor.FLOOR) if witness else 0.0)
+        whole = {p: (sum(x for (q, _), x in s_of.items() if q == p), sum(x for (q, _), x in b_of.items() if q == p), sum(q == p for q, _ in s_of)) for p in claims}
+        return {(p, t): ((x / whole[p][0] if whole[p][0] > 0 else 1 / whole[p][2]) + b_of[p, t]) / (1 + whole[p][1]) for (p, t), x in s_of.items()}
+
+    for _ in range(survivor.ROUNDS):
+        now = shares()
+        new = {s: mean(fixed[s][0] + sum(now[p, t] * n for (p, t, x), (_, n) in votes.items() if x == s and not decided(p)), fixed[s][1] + sum(n for (p, _, x), (_, n) in votes.items() if x == s and not decided(p))) for s in sources}
+        moved, r = max(abs(new[s] - r[s]) for s in sources), new
+        if moved <= survivor.TOLERANCE:
+            break
+    now = shares()
+    return r, {p: max((now[q, t], max((d, c, -v) for x, _, c, d, v in claims[p] if x == t), t) for q, t in now if q == p)[2] for p in claims}, ends
+
+
+def test_planted_conflicts_against_an_exact_model(spark):
+    import random
+
+    rng = random.Random(6)
+    rows, v = [], 0
+    for p in range(80):
+        truth = rng.choice(["CEO", "CFO", "CTO"])
+        for _ in range(rng.randint(1, 6)):
+            v += 1
+            source = rng.choice(["good", "fair", "bad"])
+            right = rng.random() < {"good": 0.95, "fair": 0.7, "bad": 0.2}[source]
+            rows.append((v, p, truth if right else rng.choice(["Clerk", "Buyer"]), source, round(rng.uniform(0.4, 1) if right else rng.uniform(0.1, 0.8), 3), rng.randint(1, 28)))
+    r, winners, ends = exact(rows)
+    df = spark.createDataFrame([(v, p, t, None, None, c, [f"https://{s}/x"], day(d), day(1), None, 0) for v, p, t, s, c, d in rows], SCHEMA)
+    claimed = survivor.claims(df)
+    got = {x.source: x.r for x in survivor.reliabilities(survivor._votes(claimed, survivor.witnesses(claimed))).collect()}
+    assert got.keys() == r.keys() and all(abs(got[s] - r[s]) < 1e-6 for s in r) and r["good"] > r["fair"] > r["bad"]
+    resolved = {x.person_key: x for x in survivor.resolve(df).collect()}
+    assert {p: x.value.lower() for p, x in resolved.items()} == winners
+    contested = [p for p, (a, b) in ends.items() if a != b]
+    # The vote decides: neither the latest nor the most confident value wins always.
+    assert {winners[p] == ends[p][0] for p in contested} == {True, False} == {winners[p] == ends[p][1] for p in contested}
+    assert all(winners[p] == a for p, (a, b) in ends.items() if a == b) and any(x.settled for x in resolved.values()) and not all(x.settled for x in resolved.values())
