@@ -5,7 +5,7 @@ density, those of its neighbours and of its container, its tag and place, and ho
 (log odds over the labelled table). One CART tree, trained on a small labelled table, decides furniture or main body.
 
 The labelled table: the invented pages of ``blocks_seed`` and at most LABELLED_PAGES pages of the corpus, of at most LABELLED_CHARS
-characters and PER_HOST of a host, whose markup names its regions (<main> against the rest), taken in the order of a hash of page_id. Each enters in several copies, with the region names,
+characters and PER_HOST of a host, whose markup names its regions (<main>, or a single <article>, against the rest), taken in the order of a hash of page_id. Each enters in several copies, with the region names,
 the containers or all markup hidden, so that the tree learns pages without them; words are scored out of fold.
 
 Results at the edges: null, '' and blank texts have no blocks; blank lines are never furniture; html null or out of step with the text
@@ -434,7 +434,7 @@ def train(rows: list[tuple[str, str]]) -> Model:
 
 def fit(pages: DataFrame, most: int = LABELLED_PAGES, chars: int = LABELLED_CHARS) -> Model:
     """The model, trained on the driver from the bounded labelled table. Runs two jobs over the pages when called."""
-    pages = pages.filter(F.contains("html", F.lit("<main")) & (F.length("html") + F.length("text") <= chars))
+    pages = pages.filter((F.contains("html", F.lit("<main")) | (F.regexp_count("html", F.lit("<article")) == 1)) & (F.length("html") + F.length("text") <= chars))
     named = pages.filter(F.col("final_url").isNotNull())
     per_host = W.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id")
     ranked = named.select("page_id", host_of(F.col("final_url")).alias("host")).withColumn("rank", F.row_number().over(per_host)).filter(F.col("rank") <= PER_HOST)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimforge.llm import mainbody
 
@@ -50,6 +51,15 @@ def test_one_container_for_the_whole_page_says_nothing(model, wrap):
     assert right / sum(map(len, got)) > 0.95 and right / sum(len(f) for _, _, f in pages) > 0.95
 
 
+def test_pages_with_one_article_are_labelled(spark):
+    rng = random.Random(6)
+    rows = [(i, f"https://h{i % 4}.example/{i}", *(x.replace("<main", "<article").replace("</main", "</article") for x in page(rng, "h")[:2])) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, final_url string, text string, html string")
+    assert mainbody.fit(df).scores != mainbody.train([]).scores
+    twice = df.withColumn("html", F.concat("html", F.lit("<article>Teaser</article>")))
+    assert mainbody.fit(twice).scores == mainbody.train([]).scores
+
+
 def test_alignment_is_a_longest_common_subsequence():
     def block(x):
         return mainbody.Block(x, 0.0, "p", -1, (0,))
