@@ -452,21 +452,25 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EPO
             emit[place] = np.add.reduceat(weights[features], np.cumsum(sizes) - sizes)
             emit = emit.reshape(longest, n, width)
             live = np.arange(longest)[:, None] < lengths
-            # Forward and backward, scaled by their maxima.
-            alpha, beta = np.zeros((longest, n, width)), np.zeros((longest, n, width))
-            alpha[0] = start + emit[0]
+            # Forward and backward in chances, scaled to sum to 1 at every place; an impossible move has chance 0.
+            local, step_to = np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(moves)
+            alpha, beta, scale = np.zeros((longest, n, width)), np.ones((longest, n, width)), np.ones((longest, n, 1))
+            alpha[0] = np.exp(start) * local[0]
+            scale[0] = alpha[0].sum(axis=1, keepdims=True)
+            alpha[0] /= scale[0]
+            # Texts are sorted by length: the first alive[t] of them have a place t.
+            alive = live.sum(axis=1)
             for t in range(1, longest):
-                x = alpha[t - 1][:, :, None] + moves
-                top = x.max(axis=1)
-                new = top + np.log(np.exp(x - top[:, None]).sum(axis=1)) + emit[t]
-                alpha[t] = np.where(live[t][:, None], new, alpha[t - 1])
-            top = alpha[-1].max(axis=1)
-            total = top + np.log(np.exp(alpha[-1] - top[:, None]).sum(axis=1))
-            for t in range(longest - 2, -1, -1):
-                x = moves[None] + (emit[t + 1] + beta[t + 1])[:, None, :]
-                top = x.max(axis=2)
-                beta[t] = np.where(live[t + 1][:, None], top + np.log(np.exp(x - top[:, :, None]).sum(axis=2)), 0)
-            chance = np.exp(alpha + beta - total[None, :, None]) * live[:, :, None]
+                m = alive[t]
+                new = (alpha[t - 1, :m] @ step_to) * local[t, :m]
+                scale[t, :m] = new.sum(axis=1, keepdims=True)
+                alpha[t, :m] = new / scale[t, :m]
+            after = np.zeros((longest, n, width))
+            for t in range(longest - 1, 0, -1):
+                m = alive[t]
+                after[t, :m] = local[t, :m] * beta[t, :m] / scale[t, :m]
+                beta[t - 1, :m] = after[t, :m] @ step_to.T
+            chance = alpha * beta * live[:, :, None]
             gold = np.zeros_like(chance)
             pair = np.zeros((width, width))
             first = np.zeros(width)
@@ -474,11 +478,7 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EPO
                 gold[np.arange(len(y)), k, y] = 1
                 np.add.at(pair, (y[:-1], y[1:]), 1)
                 first[y[0]] += 1
-            for t in range(1, longest):
-                m = live[t]
-                if m.any():
-                    x = alpha[t - 1][m][:, :, None] + moves + (emit[t][m] + beta[t][m])[:, None, :] - total[m][:, None, None]
-                    pair -= np.exp(x).sum(axis=0)
+            pair -= step_to * np.tensordot(alpha[:-1], after[1:], axes=([0, 1], [0, 1]))
             first -= chance[0].sum(axis=0)
             off = (gold - chance).reshape(longest * n, width) / n
             order_of = np.argsort(features, kind="stable")
