@@ -428,7 +428,7 @@ def document_phones(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.posexplode(T.phones(F.col("text"), None)).alias("seq", "phone"))
 
 
-# Java's word characters in RE2; a name begins where no word character stands before it.
+# Java's word characters in RE2; a name begins where no word character stands before it. Signs that no name holds, and spaces, are doubled, so that names may share a neighbour.
 _W = r"[\p{L}\p{M}\p{N}\p{Pc}]"
 _LATIN_SQL = L.LATIN_LEGAL.removeprefix(r"(?U)\b").removesuffix("(?![A-Za-z0-9])").replace(r"[\w&'’\-\.]", r"[\p{L}\p{M}\p{N}\p{Pc}&'’\-\.]").replace(r"\s", r"[\t-\r\x{85}\p{Z}]")
 _TRIM_SIGNS = "'^[ ,.;]+|[ ,.;]+$', '', 'g'"
@@ -439,7 +439,7 @@ _LEGAL_SQL = rf"""SELECT doc_id, name, min(place) AS place FROM (
         SELECT doc_id, list_concat(regexp_extract_all(t, {_q(f'({L.JP_LEGAL})')}, 1), regexp_extract_all(t, {_q(f'({L.CN_LEGAL})')}, 1),
           list_filter(list_transform(regexp_extract_all(t, {_q(rf"(?:^|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])({_LATIN_SQL})(?:[^A-Za-z0-9]|$)")}, 1), lambda x: regexp_replace({_squeeze('x')}, {_TRIM_SIGNS})),
             lambda x: length(x) BETWEEN 2 AND 70 AND contains(x, ' ') AND len(list_filter(string_split(x, ' '), lambda v: lower(v) NOT IN {_in(L.GENERIC_LOCALS)})) > 0)) AS ns
-        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)))))
+        FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), {_q(r"([^\p{L}\p{M}\p{N}\p{Pc}&'’.\-])")}, '\1\1', 'g') AS t FROM documents)))))
   WHERE name <> '' GROUP BY doc_id, name"""
 
 
