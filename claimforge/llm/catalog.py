@@ -46,12 +46,20 @@ def p8_round_trip(spark, folder):
 # ---- 5: look-alike text -----------------------------------------------------------------------------
 
 
-@query("p5_found")
+def _p5_sql(columns: str, where: str) -> str:
+    """The embedded SQL over whole tables at once: no Arrow batches, no values left out as plain."""
+    ctes, final = lookalike.SQL.strip().removeprefix("WITH").rsplit("SELECT replace(", 1)
+    clean = "SELECT row, replace(" + final.removesuffix("ORDER BY row")
+    values = "SELECT 'pages.text' AS field, page_id AS row_id, text AS value FROM pages UNION ALL SELECT 'people.name', person_id, name FROM people"
+    return f"WITH batch AS (SELECT *, row_number() OVER () AS row FROM ({values})), {ctes}, cleaned AS ({clean}) SELECT {columns} FROM batch JOIN cleaned USING (row) {where}"
+
+
+@query("p5_found", _p5_sql("field, row_id", "WHERE value <> clean"))
 def p5_found(spark, folder):
     return lookalike.unify_all(table(spark, folder, "pages"), table(spark, folder, "people")).filter("changed").select("field", "row_id")
 
 
-@query("p5_clean")
+@query("p5_clean", _p5_sql("field, row_id, clean AS value, coalesce(value <> clean, false) AS changed", ""))
 def p5_clean(spark, folder):
     return lookalike.unify_all(table(spark, folder, "pages"), table(spark, folder, "people"))
 
