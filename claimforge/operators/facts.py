@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from claimforge.functions import html
 from claimforge.functions import text as T
@@ -88,3 +89,25 @@ def write_report(lines: DataFrame, head: list[str], path: str) -> None:
     """A folder of text: the head, then the lines (order, line) in their order, as one file: a report is small, one row per company."""
     top = lines.sparkSession.createDataFrame([(-len(head) + i, x) for i, x in enumerate(head)], "order long, line string")
     lines.select(F.col("order").cast("long"), "line").unionByName(top).orderBy("order").select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
+def html_row(cells: list[Column]) -> Column:
+    """A row of an HTML table, its cells escaped."""
+    return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), escaped(c.cast("string")), F.lit("</td>")) for c in cells], F.lit("</tr>"))
+
+
+def numbered_sources(pages: DataFrame, most: int = 8, characters: int = 1800) -> DataFrame:
+    """(company_id, sources): the first pages of each company as a numbered list of title, address and clipped text. pages: company_id, url, title, text, place."""
+    order = W.partitionBy("company_id").orderBy("place")
+    first = pages.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most)
+    shown = F.format_string("[%d] %s\nURL: %s\n%s\n", F.col("n"), F.coalesce(F.nullif("title", F.lit("")), T.blank(F.col("url"))), T.blank(F.col("url")), T.clip(F.col("text"), characters))
+    # At most so many pages a company are gathered.
+    return first.select("company_id", "n", shown.alias("s")).groupBy("company_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]), "\n").alias("sources"))
+
+
+def every_input(inputs: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """One result for every input: of repeated results the last by place, and for inputs without any a technical failure. results: key, place, lead_grade, status, failure_category."""
+    last = results.groupBy(key).agg(F.max_by(F.struct("lead_grade", "status", "failure_category"), "place").alias("r"))
+    joined = inputs.select(key).join(last, key, "left")
+    missing = F.struct(F.lit("FAIL").alias("lead_grade"), F.lit("ERROR").alias("status"), F.lit("technical failure").alias("failure_category"))
+    return joined.select(key, F.coalesce("r", missing).alias("r")).select(key, "r.*")

@@ -40,3 +40,20 @@ def related(companies: DataFrame, most_aliases: int | None = 4) -> DataFrame:
     aliases = F.transform(T.first(F.coalesce("aliases", F.array().cast("array<string>")), most_aliases), lambda a: one(T.blank(a) != "", "alias_of", a))
     rows = F.array_compact(F.concat(F.array(one((T.blank(legal) != "") & (F.lower(legal) != canonical), "legal_entity_of", legal), one(T.blank(parent) != "", "parent_of", parent)), aliases))
     return companies.select("company_id", F.explode(rows).alias("r")).select("company_id", "r.relation", "r.name").distinct()
+
+
+def overlay(base: DataFrame, proposals: DataFrame, known: DataFrame, most_aliases: int | None = 8) -> DataFrame:
+    """base with what proposals say: per company every field that is not empty, the aliases of both, and the proposal's confidence.
+
+    base and proposals: company_id, canonical_name, legal_name, country, language, aliases, confidence; proposals also source_urls, one row a company. known: company_id, url.
+    A proposal that cites no known URL counts 0.3 at most. Companies without a proposal stay as they are.
+    """
+    none = F.array().cast("array<string>")
+    cited = proposals.select("company_id", F.explode("source_urls").alias("url")).join(known.select("company_id", "url").distinct(), ["company_id", "url"], "left_semi").select("company_id").distinct().withColumn("_cited", F.lit(True))
+    fields = ("canonical_name", "legal_name", "country", "language")
+    said = proposals.join(cited, "company_id", "left").select("company_id", *[F.col(f).alias(f"_{f}") for f in fields], F.coalesce("aliases", none).alias("_aliases"), T.clamped(F.col("confidence")).alias("_sure"), F.coalesce("_cited", F.lit(False)).alias("_cited"), F.lit(True).alias("_there"))
+    merged = base.join(said, "company_id", "left")
+    there = F.coalesce("_there", F.lit(False))
+    sure = F.when(there, F.when(F.col("_cited"), F.col("_sure")).otherwise(F.least(F.col("_sure"), F.lit(0.3)))).otherwise(F.col("confidence"))
+    both = T.first(F.array_distinct(F.filter(F.concat(F.coalesce("aliases", none), F.coalesce("_aliases", none)), lambda a: T.blank(a) != "")), most_aliases)
+    return merged.select("company_id", *[F.coalesce(F.nullif(f"_{f}", F.lit("")), f).alias(f) for f in fields], F.when(there, both).otherwise(F.coalesce("aliases", none)).alias("aliases"), sure.alias("confidence"))

@@ -37,6 +37,14 @@ def supported_people(kept: DataFrame) -> DataFrame:
     return sources.groupBy("company_id", "person_id").agg(F.sum("n").alias("items"), listed.alias("sources"))
 
 
+def supported_or_all(people: DataFrame, kept: DataFrame) -> DataFrame:
+    """The people that supported evidence names, with supported = true; of companies where it names nobody all people."""
+    named = kept.filter("person_id IS NOT NULL").select("company_id", "person_id").distinct().withColumn("supported", F.lit(True))
+    marked = people.join(named, ["company_id", "person_id"], "left").withColumn("supported", F.coalesce("supported", F.lit(False)))
+    some = marked.groupBy("company_id").agg(F.bool_or("supported").alias("_some"))
+    return marked.join(some, "company_id").filter("supported OR NOT _some").drop("_some")
+
+
 def identity_evidence(companies: DataFrame, pages: DataFrame) -> DataFrame:
     """(company_id, claim_type, claim_value, source_url, source_title, source_text, confidence): what backs a company's identity.
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from claimforge import lexicon as L
 from claimforge.functions import html
 from claimforge.functions import text as T
-from claimforge.operators import contacts, facts, metrics, people, search, selection
+from claimforge.operators import contacts, facts, identity, metrics, people, search, selection
 from claimforge.plans import catalog as C
 from claimforge.plans.catalog import _b, _any, _DOMAIN, _host, _in, _list, _q, _squeeze, _unescaped, query, table
+from claimforge.sources import responses
 from claimforge.sources.tables import limited
 
 _EDGE, _AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
@@ -464,6 +465,126 @@ def companies_page(spark, folder):
     return limited(table(spark, folder, "companies").select("row_index", "company_id", "company_name"), 10, 50)
 
 
+# ---- answers of services, proposals, batches --------------------------------------------------------
+
+
+@query(
+    f"""SELECT evidence_id, 1 AS position, trim(source_url, ' ') AS url, trim({_b('source_title')}, ' ') AS title, trim({_b('source_text')}, ' ') AS snippet, 'web' AS engine, CAST(0 AS DOUBLE) AS score, {C._source_type("trim(source_url, ' ')", "trim(coalesce(source_title, ''), ' ')")} AS source_type
+FROM evidence WHERE evidence_id % 7 <> 0 AND starts_with(trim({_b('source_url')}, ' '), 'http')"""
+)
+def web_answers(spark, folder):
+    """Hits read out of JSON made of the evidence, a hit an answer; every seventh answer is broken."""
+    hit = F.struct(F.col("source_url").alias("url"), F.col("source_title").alias("title"), F.col("source_text").alias("description"))
+    other = F.struct(F.lit("ftp://x.example/a").alias("url"), F.lit("x").alias("title"), F.lit("y").alias("description"))
+    body = F.to_json(F.struct(F.struct(F.array(hit, other).alias("results")).alias("web")))
+    answers = table(spark, folder, "evidence").select("evidence_id", F.when(F.col("evidence_id") % 7 == 0, F.lit("<html>busy</html>")).otherwise(body).alias("body"))
+    return responses.json_hits(answers, responses.WEB)
+
+
+@query(
+    f"""SELECT evidence_id, CAST(2 AS INTEGER) AS position, trim(source_url, ' ') AS url, trim({_b('source_title')}, ' ') AS title, coalesce(nullif(trim({_b('source_text')}, ' '), ''), trim({_b('source_title')}, ' ')) AS snippet, CASE WHEN evidence_id % 2 = 0 THEN 'alpha' ELSE 'meta' END AS engine, coalesce(confidence, 0) AS score,
+  {C._source_type("trim(source_url, ' ')", "trim(coalesce(source_title, ''), ' ')")} AS source_type FROM evidence WHERE starts_with(trim({_b('source_url')}, ' '), 'http')"""
+)
+def meta_answers(spark, folder):
+    """The same in the form of a service that asks others: with an engine and a score, after an entry without an address."""
+    engine = F.when(F.col("evidence_id") % 2 == 0, "alpha")
+    hit = F.struct(F.col("source_url").alias("url"), F.col("source_title").alias("title"), F.col("source_text").alias("content"), engine.alias("engine"), F.col("confidence").alias("score"))
+    nothing = F.struct(F.lit("").alias("url"), F.lit("x").alias("title"), F.lit("y").alias("content"), F.lit(None).cast("string").alias("engine"), F.lit(1.0).alias("score"))
+    answers = table(spark, folder, "evidence").select("evidence_id", F.to_json(F.struct(F.array(nothing, hit).alias("results"))).alias("body"))
+    return responses.json_hits(answers, responses.META, None)
+
+
+@query(f"SELECT page_id, {_b('final_url')} AS target FROM pages")
+def redirect_links(spark, folder):
+    """Addresses of pages wrapped into redirect links, and out again."""
+    link = F.concat(F.lit("//go.example/l/?kh=-1&uddg="), F.url_encode(T.blank(F.col("final_url"))), F.lit("&rut=a1"))
+    return table(spark, folder, "pages").select("page_id", responses.unwrapped(link).alias("target"))
+
+
+@query(
+    """WITH h AS (SELECT company_id, claim_type, evidence_id, CAST(evidence_id % 3 AS INTEGER) AS service FROM evidence), f AS (SELECT company_id, claim_type, min(service) AS service FROM h GROUP BY ALL)
+SELECT company_id, claim_type, evidence_id, service, rank FROM (SELECT h.*, row_number() OVER (PARTITION BY company_id, claim_type ORDER BY evidence_id) AS rank FROM h JOIN f USING (company_id, claim_type, service)) WHERE rank <= 12"""
+)
+def first_answers(spark, folder):
+    """Evidence as hits of three services, asked one after the other: of every query (here: kind of claim) the hits of the first that has any."""
+    hits = table(spark, folder, "evidence").select("company_id", "claim_type", "evidence_id", F.pmod("evidence_id", F.lit(3)).cast("int").alias("service"))
+    return responses.first_answer(hits, ["company_id", "claim_type"], place="evidence_id")
+
+
+_BOTH_ALIASES = f"list_filter(list_concat(coalesce(aliases, []), al), lambda a: {_b('a')} <> '')"
+
+
+@query(
+    rf"""WITH said AS (SELECT company_id, upper(canonical_name) AS n, CASE WHEN company_id % 2 = 0 THEN '' ELSE legal_name END AS l, 'Utopia' AS c, [lower(canonical_name)] AS al, least(CAST(1 AS DOUBLE), coalesce(confidence, 0) + CAST(0.5 AS DOUBLE)) AS sure,
+    EXISTS (SELECT 1 FROM pages p WHERE p.company_id = companies.company_id AND list_contains(coalesce(evidence_urls, []), p.final_url)) AS cited FROM companies WHERE company_id % 3 <> 0)
+SELECT company_id, coalesce(nullif(n, ''), canonical_name) AS canonical_name, coalesce(nullif(l, ''), legal_name) AS legal_name, coalesce(nullif(c, ''), country) AS country, language,
+  CASE WHEN sure IS NULL THEN coalesce(aliases, []) ELSE list_slice({C._distinct(_BOTH_ALIASES)}, 1, 8) END AS aliases,
+  CASE WHEN sure IS NULL THEN confidence WHEN cited THEN sure ELSE least(sure, CAST(0.3 AS DOUBLE)) END AS confidence FROM companies LEFT JOIN said USING (company_id)"""
+)
+def identity_overlay(spark, folder):
+    """Proposals made of two thirds of the companies, laid over all of them."""
+    companies = table(spark, folder, "companies")
+    even = F.col("company_id") % 2 == 0
+    proposals = companies.filter("company_id % 3 <> 0").select(
+        "company_id", F.upper("canonical_name").alias("canonical_name"), F.when(even, "").otherwise(F.col("legal_name")).alias("legal_name"), F.lit("Utopia").alias("country"), F.lit("").alias("language"),
+        F.array(F.lower("canonical_name")).alias("aliases"), (F.coalesce("confidence", F.lit(0.0)) + 0.5).alias("confidence"), F.col("evidence_urls").alias("source_urls"),
+    )
+    base = companies.select("company_id", "canonical_name", "legal_name", "country", "language", "aliases", "confidence")
+    return identity.overlay(base, proposals, _known(spark, folder))
+
+
+@query(
+    rf"""WITH t AS (SELECT company_id, page_id, {_b('final_url')} AS url, coalesce(nullif(title, ''), {_b('final_url')}) AS title, regexp_replace({_b('text')}, '^[\t-\r\x1c-\x1f\x{{85}}\p{{Z}}]+|[\t-\r\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g') AS t, row_number() OVER (PARTITION BY company_id ORDER BY page_id) AS n FROM pages)
+SELECT company_id, string_agg('[' || n || '] ' || title || chr(10) || 'URL: ' || url || chr(10) || CASE WHEN length(t) <= 1800 THEN t ELSE substr(t, 1, 900) || chr(10) || '...[truncated]...' || chr(10) || right(t, 900) END || chr(10), chr(10) ORDER BY n) AS sources FROM t WHERE n <= 8 GROUP BY company_id"""
+)
+def numbered_sources(spark, folder):
+    """The first eight pages of every company as a prompt lists them."""
+    pages = table(spark, folder, "pages").select("company_id", F.col("final_url").alias("url"), "title", "text", F.col("page_id").alias("place"))
+    return facts.numbered_sources(pages)
+
+
+@query(f"SELECT company_id, CASE WHEN company_id % 5 = 0 THEN 'FAIL' ELSE lead_grade END AS lead_grade, CASE WHEN company_id % 5 = 0 THEN 'ERROR' ELSE status END AS status, CASE WHEN company_id % 5 = 0 THEN 'technical failure' ELSE nullif(failure_category, '') END AS failure_category FROM ({_RESULTS_SQL})")
+def batch_results(spark, folder):
+    """One result for every company; a fifth of them came without any."""
+    results = _results(spark, folder)
+    some = results.filter("company_id % 5 <> 0").withColumn("place", F.lit(2))
+    stale = some.withColumn("place", F.lit(1)).withColumn("status", F.lit("STALE"))
+    return facts.every_input(results, some.unionByName(stale), "company_id")
+
+
+@query(f"SELECT count(*) || ' companies | A-D ' || printf('%.1f', 100.0 * count(*) FILTER (lead_grade IN ('A', 'B', 'C', 'D')) / count(*)) || '% | A-E ' || printf('%.1f', 100.0 * count(*) FILTER (lead_grade <> 'FAIL') / count(*)) || '%' AS line FROM ({_RESULTS_SQL}) HAVING count(*) > 0")
+def batch_line(spark, folder):
+    """The figures of a batch in one line."""
+    rows = _results(spark, folder).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lead_grade").isin("A", "B", "C", "D")).alias("d"), F.count_if(F.col("lead_grade") != "FAIL").alias("e")).filter("n > 0")
+    return rows.select(F.format_string("%d companies | A-D %.1f%% | A-E %.1f%%", F.col("n"), 100.0 * F.col("d") / F.col("n"), 100.0 * F.col("e") / F.col("n")).alias("line"))
+
+
+def _html_cell(c: str) -> str:
+    out = _b(c)
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = f"replace({out}, {_q(sign)}, {_q(entity)})"
+    return f"'<td>' || {out} || '</td>'"
+
+
+_HTML_COLUMNS = ("company_name", "domain", "legal_name", "lead_grade", "failure_category")
+
+
+@query(f"SELECT company_id, '<tr>' || {' || '.join(map(_html_cell, _HTML_COLUMNS))} || '</tr>' AS line FROM ({_RESULTS_SQL})")
+def report_html_rows(spark, folder):
+    """A row of the HTML report for each company."""
+    return _results(spark, folder).select("company_id", facts.html_row([F.col(c) for c in _HTML_COLUMNS]).alias("line"))
+
+
+@query(
+    f"""WITH s AS (SELECT DISTINCT company_id, person_id FROM ({_SUPPORTED_SQL}) WHERE person_id IS NOT NULL), some_named AS (SELECT DISTINCT company_id FROM s JOIN people USING (company_id, person_id))
+SELECT person_id, p.company_id, EXISTS (SELECT 1 FROM s WHERE s.company_id = p.company_id AND s.person_id = p.person_id) AS supported FROM people p WHERE p.company_id NOT IN (SELECT company_id FROM some_named) OR EXISTS (SELECT 1 FROM s WHERE s.company_id = p.company_id AND s.person_id = p.person_id)"""
+)
+def finalised_people(spark, folder):
+    """The people of every company that supported evidence names, or all where it names none."""
+    kept = selection.supported(table(spark, folder, "evidence"), _known(spark, folder))
+    return selection.supported_or_all(table(spark, folder, "people"), kept).select("person_id", "company_id", "supported")
+
+
 def page_facts(spark, folder):
     """All facts of every page in one row each."""
     return facts.page_facts(table(spark, folder, "pages"))
