@@ -29,12 +29,12 @@ def supported(evidence: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def supported_people(kept: DataFrame) -> DataFrame:
-    """(company_id, person_id, items, sources): the people that supported evidence names, with its different sources in the order of the evidence."""
+    """(company_id, person_id, source_url, items, first_id): the different sources of the people that supported evidence names, a row each; first_id gives their order.
+
+    No list is gathered, as one person may have any number of sources.
+    """
     named = kept.filter("person_id IS NOT NULL")
-    # One row per source first: a hot person's evidence is never gathered.
-    sources = named.groupBy("company_id", "person_id", "source_url").agg(F.min("evidence_id").alias("at"), F.count(F.lit(1)).alias("n"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "source_url"))), lambda x: x["source_url"])
-    return sources.groupBy("company_id", "person_id").agg(F.sum("n").alias("items"), listed.alias("sources"))
+    return named.groupBy("company_id", "person_id", "source_url").agg(F.count(F.lit(1)).alias("items"), F.min("evidence_id").alias("first_id"))
 
 
 def supported_or_all(people: DataFrame, kept: DataFrame) -> DataFrame:

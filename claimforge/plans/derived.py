@@ -214,7 +214,7 @@ def supported_evidence(spark, folder):
     return selection.supported(table(spark, folder, "evidence"), _known(spark, folder)).select("evidence_id", "company_id")
 
 
-@query(f"WITH s AS (SELECT company_id, person_id, source_url, min(evidence_id) AS seen, count(*) AS n FROM ({_SUPPORTED_SQL}) WHERE person_id IS NOT NULL GROUP BY ALL) SELECT company_id, person_id, CAST(sum(n) AS BIGINT) AS items, list(source_url ORDER BY seen) AS sources FROM s GROUP BY company_id, person_id")
+@query(f"SELECT company_id, person_id, source_url, count(*) AS items, min(evidence_id) AS first_id FROM ({_SUPPORTED_SQL}) WHERE person_id IS NOT NULL GROUP BY company_id, person_id, source_url")
 def supported_people(spark, folder):
     """People that supported claims name, with their sources."""
     return selection.supported_people(selection.supported(table(spark, folder, "evidence"), _known(spark, folder)))
