@@ -116,13 +116,17 @@ SELECT replace(replace(v, '{KEPT_JOINER}', chr(8205)), '{KEPT_SPLITTER}', chr(82
 _connection = None
 
 
+#: Bytes of text that go through SQL at once (a longer text alone): its steps hold a text many times over.
+SQL_BYTES = 2 << 20
+
+
 def _duck():
-    """A connection of its own for each worker; it never writes to disk: Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set)."""
+    """A connection of its own for each worker; it never writes to disk."""
     global _connection
     if _connection is None:
         import duckdb
 
-        _connection = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+        _connection = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "2GB", "temp_directory": ""})
     return _connection
 
 
@@ -134,16 +138,27 @@ def clean_array(values: pa.Array) -> pa.Array:
     some = values.filter(foreign)
     if not len(some):
         return values
-    duck = _duck()
     # DuckDB's nfc_normalize ends a text at its first NUL.
     some = pc.replace_substring(some, "\0", KEPT_NUL)
-    duck.register("batch", pa.table({"row": pa.array(range(len(some)), pa.int64()), "value": some}))
+    sizes = pc.binary_length(some).to_pylist()
+    cleaned, start, size = [], 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and size + n > SQL_BYTES:
+            cleaned.append(_through_sql(some.slice(start, k - start)))
+            start, size = k, 0
+        size += n
+    cleaned.append(_through_sql(some.slice(start)))
+    return pc.replace_with_mask(values, foreign, pc.replace_substring(pa.concat_arrays(cleaned), KEPT_NUL, "\0"))
+
+
+def _through_sql(values: pa.Array) -> pa.Array:
+    duck = _duck()
+    duck.register("batch", pa.table({"row": pa.array(range(len(values)), pa.int64()), "value": values}))
     try:
         got = duck.sql(SQL).to_arrow_table()
     finally:
         duck.unregister("batch")
-    clean = pc.replace_substring(got.column("clean").combine_chunks().cast(pa.string()), KEPT_NUL, "\0")
-    return pc.replace_with_mask(values, foreign, clean)
+    return got.column("clean").combine_chunks().cast(pa.string())
 
 
 def unify(df: DataFrame, key: str, column: str, field: str) -> DataFrame:

@@ -41,6 +41,17 @@ def test_no_ascii_text_would_change():
     assert lookalike.clean_array(pa.array(mixed)).to_pylist() == ["plain", None, "Alex", "", "first"] and len(lookalike.clean_array(pa.array([], pa.string()))) == 0
 
 
+def test_batches_of_long_texts(monkeypatch):
+    """Large batches go through SQL in parts, with the same results and bounded memory."""
+    long = ["（例）Ａ Аlex " * 6000 + str(i) for i in range(80)]
+    got = lookalike.clean_array(pa.array([*long, None, "plain", ""])).to_pylist()
+    assert got[0].startswith("（例）A Alex ") and got[80:] == [None, "plain", ""] and [x[-2:] for x in got[70:80]] == [str(i) for i in range(70, 80)]
+    short = ["Аlex", "ﬁrst", None, "x", "a\u200bb"]
+    whole = lookalike.clean_array(pa.array(short)).to_pylist()
+    monkeypatch.setattr(lookalike, "SQL_BYTES", 5)
+    assert lookalike.clean_array(pa.array(short)).to_pylist() == whole == ["Alex", "first", None, "x", "ab"]
+
+
 def test_idempotent_and_rows(spark):
     rows = [(1, "Αlex", "x"), (1, "Αlex", "x"), (2, None, "y"), (None, "ok", "z")]
     df = spark.createDataFrame(rows, "k long, value string, field string")
