@@ -39,7 +39,7 @@ def unwrapped(url: Column, parameter: str = "uddg") -> Column:
 
 
 def first_answer(hits: DataFrame, key: list[str], service: str = "service", place: str = "place", most: int | None = 12) -> DataFrame:
-    """The first hits of every query from the first service that has any; services are numbered in the order in which they are asked."""
+    """The first hits of every query from the first service that has any; services are numbered in the order in which they are asked. Hits of a null key are left out."""
     asked = hits.groupBy(*key).agg(F.min(service).alias("_first"))
     kept = hits.join(asked, key).filter(F.col(service) == F.col("_first")).drop("_first")
     ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(place)))
