@@ -190,12 +190,15 @@ def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     members: (id, class_id); links: (class_a, class_b). Only classes of more than PIECE rows are cut into pieces, every piece of one
     meeting every piece of the other, so that no task has all the pairs of a class that a third of all rows are in.
     """
-    sized = members.groupBy("class_id").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("n"))
-    placed = members.join(sized, "class_id").select("id", "class_id", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("at"))
-    side = lambda x: sized.select(F.col("class_id").alias(f"class_{x}"), F.col("n").alias(f"n_{x}"))
-    every = links.select("class_a", "class_b").unionByName(sized.select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"))).distinct()
-    upto = lambda x: F.explode(F.sequence(F.lit(0), F.col(f"n_{x}") - 1)).alias(f"at_{x}")
-    cut = every.join(side("a"), "class_a").join(side("b"), "class_b").select("class_a", "class_b", "n_b", upto("a")).select("class_a", "class_b", "at_a", upto("b"))
+    # Classes of one row have no pairs of their own, and few have more rows than a piece: what is joined for the cut is small.
+    sized = checkpointed(members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    large = sized.filter(F.col("n") > PIECE).select("class_id", F.ceil(F.col("n") / PIECE).cast("int").alias("n"))
+    cuts = lambda c: F.coalesce(F.col(c), F.lit(1))
+    placed = members.join(large, "class_id", "left").select("id", "class_id", F.pmod(F.xxhash64("id"), cuts("n")).cast("int").alias("at"))
+    side = lambda x: large.select(F.col("class_id").alias(f"class_{x}"), F.col("n").alias(f"n_{x}"))
+    every = links.select("class_a", "class_b").unionByName(sized.select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b")))
+    upto = lambda x: F.explode(F.sequence(F.lit(0), cuts(f"n_{x}") - 1)).alias(f"at_{x}")
+    cut = every.join(side("a"), "class_a", "left").join(side("b"), "class_b", "left").select("class_a", "class_b", "n_b", upto("a")).select("class_a", "class_b", "at_a", upto("b"))
     of = lambda x: placed.select(F.col("class_id").alias(f"class_{x}"), F.col("at").alias(f"at_{x}"), F.col("id").alias(f"i{x}"))
     rows = cut.join(of("a"), ["class_a", "at_a"]).join(of("b"), ["class_b", "at_b"]).filter("ia <> ib")
     return rows.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
