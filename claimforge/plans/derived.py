@@ -552,11 +552,11 @@ def batch_results(spark, folder):
     return facts.every_input(results, some.unionByName(stale), "company_id")
 
 
-@query(f"SELECT count(*) || ' companies | A-D ' || printf('%.1f', 100.0 * count(*) FILTER (lead_grade IN ('A', 'B', 'C', 'D')) / count(*)) || '% | A-E ' || printf('%.1f', 100.0 * count(*) FILTER (lead_grade <> 'FAIL') / count(*)) || '%' AS line FROM ({_RESULTS_SQL}) HAVING count(*) > 0")
+@query(f"SELECT count(*) || ' companies | A-D ' || printf('%.1f', round(100.0::DOUBLE * count(*) FILTER (lead_grade IN ('A', 'B', 'C', 'D')) / count(*), 1)) || '% | A-E ' || printf('%.1f', round(100.0::DOUBLE * count(*) FILTER (lead_grade <> 'FAIL') / count(*), 1)) || '%' AS line FROM ({_RESULTS_SQL}) HAVING count(*) > 0")
 def batch_line(spark, folder):
     """The figures of a batch in one line."""
     rows = _results(spark, folder).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lead_grade").isin("A", "B", "C", "D")).alias("d"), F.count_if(F.col("lead_grade") != "FAIL").alias("e")).filter("n > 0")
-    return rows.select(F.format_string("%d companies | A-D %.1f%% | A-E %.1f%%", F.col("n"), 100.0 * F.col("d") / F.col("n"), 100.0 * F.col("e") / F.col("n")).alias("line"))
+    return rows.select(F.format_string("%d companies | A-D %.1f%% | A-E %.1f%%", F.col("n"), metrics.percent(F.col("d"), F.col("n")), metrics.percent(F.col("e"), F.col("n"))).alias("line"))
 
 
 def _html_cell(c: str) -> str:
