@@ -81,6 +81,32 @@ def test_pairs_of_a_hot_class(spark, monkeypatch):
     assert set(got) == want and len(got) == len(want) and variants.pairs(members.limit(0), links.limit(0)).count() == 0
 
 
+def test_what_is_found_is_written_and_pairs_are_not_shuffled(spark):
+    """The driver holds no plan of the whole search, and the pairs, by far the most rows, go through no aggregate."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    keys = spark.createDataFrame([("x", "koestenbach"), ("x", "kostenbach"), ("y", "kostenbahc")], "block string, s string")
+    near = variants.radius_join(keys, 2)
+    assert [tuple(r) for r in near.collect()] == [("x", "kostenbach", "koestenbach", 1)] and "Join" not in plan(near) and "Exchange" not in plan(near)
+    rng = random.Random(4)
+    of = {(i, c) for i in range(30) for c in rng.sample(range(9), rng.randint(1, 3))}
+    linked = {(1, 2), (2, 1), (3, 3), (4, 7)}
+    members = spark.createDataFrame(sorted(of) + [(None, 1), (5, next(c for i, c in of if i == 5))], "id long, class_id long")
+    got = variants.pairs(members, spark.createDataFrame(sorted(linked), "class_a long, class_b long"))
+    want = sorted({(i, j) for i, c in of for j, d in of if i < j and (c == d or {(c, d), (d, c)} & linked)})
+    assert sorted(tuple(r) for r in got.collect()) == want and "Aggregate" not in plan(got)
+
+
+@pytest.mark.parametrize("whole", [1, 1000])
+def test_whole_blocks_and_cells_give_the_same(spark, monkeypatch, whole):
+    """Also with keys of over 255 letters."""
+    monkeypatch.setattr(variants, "WHOLE", whole)
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) for _ in range(40)} | {"c" * 300, "c" * 299 + "d", "c" * 302, "c" * 303})
+    got = {(x.block, x.a, x.b): x.d for x in variants.radius_join(spark.createDataFrame([("x", w) for w in words], "block string, s string"), 2).collect()}
+    order = lambda s: (len(s), s)
+    assert got == {("x", *sorted((a, b), key=order)): d for i, a in enumerate(words) for b in words[i + 1 :] if abs(len(a) - len(b)) <= 2 and (d := distance(a, b)) <= 2}
+
+
 def test_common_words_come_from_the_table(spark):
     """Words that stand with many brands are common, in a trade that no list names."""
     brands = ["balvori", "cendulat", "dorvenik", "fasilmo", "gurentap", "hilvasto", "jokamend", "kestrupo", "lavondir", "mirtelka", "nostuvel", "pardimon", "quelvast", "rostibel"]
